@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 UUID_LENGTH = 36
 
 
+BLANKS = " \t\n\r\f\v\u00a0"
+
+
 def norm_id(c: Column) -> Column:
     """Trimmed, lower case; blank and null ids are null."""
-    return F.nullif(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), F.lit(""))
+    return F.nullif(F.lower(F.btrim(c, F.lit(BLANKS))), F.lit(""))
 
 
 def store_path(c: Column, root: str = "/srv/memstore") -> Column:

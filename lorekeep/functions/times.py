@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The encodings that count as readable.
-WHOLE_NUMBER = r"^[+-]?\d{1,18}$"
-ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|[+-]\d{2}(:?\d{2})?)?$"
-HAS_ZONE = r"[T ].*(Z|[+-]\d{2}(:?\d{2})?)$"
+# Fixed value: the ISO form that counts as readable.
+ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)? ?(Z|[+-]\d{2}(:?\d{2})?)?$"
+UP_TO_MINUTES = 16  # characters of YYYY-MM-DDTHH:MM
 LAST_SECOND = 253402300799  # 9999-12-31T23:59:59Z
 
 
@@ -20,10 +19,10 @@ def instant_micros(c: Column) -> Column:
     """
     t = F.trim(c)
     seconds = t.try_cast("bigint")
-    iso = F.regexp_replace(F.regexp_replace(t, ",", "."), r"\s+(?=(Z|[+-]\d{2}(:?\d{2})?)$)", "")
-    zoned = F.when(iso.rlike(HAS_ZONE), iso).otherwise(F.concat(iso, F.lit("Z")))
+    rest = F.substring(t, UP_TO_MINUTES + 1, 40)
+    zoned = F.when(rest.contains("Z") | rest.contains("+") | rest.contains("-"), t).otherwise(F.concat(t, F.lit("Z")))
     return F.when(
-        t.rlike(WHOLE_NUMBER), F.when(F.abs(seconds) <= LAST_SECOND, seconds * F.lit(1_000_000))
+        seconds.isNotNull(), F.when(F.abs(seconds) <= LAST_SECOND, seconds * F.lit(1_000_000))
     ).when(t.rlike(ISO), F.unix_micros(zoned.try_cast("timestamp")))
 
 

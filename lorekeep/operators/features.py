@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.keys import norm_id
+from lorekeep.functions.keys import BLANKS, norm_id
 from lorekeep.functions.times import instant_micros
 
 
 def norm_type(c: Column) -> Column:
     """Trimmed, lower case, '_' for '-'; blank and null types are null."""
-    return F.nullif(F.translate(F.lower(F.regexp_replace(c, r"^\s+|\s+$", "")), "-", "_"), F.lit(""))
+    return F.nullif(F.translate(F.lower(F.btrim(c, F.lit(BLANKS))), "-", "_"), F.lit(""))
 
 
 def heavy_groups(rows: DataFrame, columns: list[str], least_share: float, tracked: int = 10_000) -> list[str]:
@@ -46,12 +46,11 @@ def type_cells(
     instant always under the same salt, so duplicates meet; each (entity, type, salt) is reduced to partial
     statistics behind one exchange, and a second, small one merges them.
     """
-    rows = events.select(
-        norm_id(F.col(entity)).alias("entity"),
-        norm_type(F.col(event_type)).alias("event_type"),
-        instant_micros(F.col(at)).alias("at"),
-    ).where("entity is not null and event_type is not null and at is not null").where(F.col("at") < as_of_micros)
-    heavy = heavy_groups(rows, ["entity", "event_type"], heavy_share)
+    named = events.select(
+        norm_id(F.col(entity)).alias("entity"), norm_type(F.col(event_type)).alias("event_type"), F.col(at).alias("time")
+    ).where("entity is not null and event_type is not null")
+    heavy = heavy_groups(named, ["entity", "event_type"], heavy_share)
+    rows = named.select("entity", "event_type", instant_micros(F.col("time")).alias("at")).where(F.col("at") < as_of_micros)
     spread = F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")
     is_heavy = F.concat_ws("\x1f", "entity", "event_type").isin(heavy) if heavy else F.lit(False)
     salted = rows.withColumn("salt", F.when(is_heavy, spread).otherwise(F.lit(0)))
