@@ -6,11 +6,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.llm.leakage import leaked_spans, without_leaks
+from lorekeep.llm.neighbours import VectorIndex
 from lorekeep.llm.spans import SharedSpans
 from lorekeep.llm.tokens import encode_corpus
 from lorekeep.sources.tables import table
 
 
+LEAST_COSINE = 0.95
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = VectorIndex(table(spark, folder, "vectors")).document_pairs(LEAST_COSINE)
+    return pairs.select("backend", "model", "doc_a", "doc_b")
+
+
+def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 10 most similar documents of the query set (ids divisible by 50), by fingerprint of their vectors."""
+    index = VectorIndex(table(spark, folder, "vectors"))
+    members = index.members().select("space", "backend", "model", "doc_id", F.col("v1").alias("a1"), F.col("v2").alias("a2"))
+    found = index.nearest(10).join(members, ["space", "a1", "a2"])
+    near = index.members().groupBy("space", F.col("v1").alias("b1"), F.col("v2").alias("b2")).agg(F.min("doc_id").alias("near_doc"))
+    return found.join(near, ["space", "b1", "b2"]).select(
+        "backend", "model", "doc_id", "rank", "near_doc", F.round("cosine", 4).alias("cosine")
+    )
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
@@ -34,7 +54,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries():
-    return {"p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p1_nearest": p1_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
