@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorekeep.functions.keys import norm_id
+from lorekeep.llm.cooccurrence import PairCounts
 from lorekeep.llm.leakage import leaked_spans, without_leaks
 from lorekeep.llm.neighbours import VectorIndex
 from lorekeep.llm.spans import SharedSpans
@@ -31,6 +33,31 @@ def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _tagged(spark: SparkSession, folder: str) -> DataFrame:
+    """Notes and sessions as records; the source keeps an id of one apart from the same id of the other."""
+    return table(spark, folder, "notes").select(_record("notes"), "tags").unionByName(
+        table(spark, folder, "sessions").select(_record("sessions"), "tags")
+    )
+
+
+def _record(source: str):
+    key = norm_id(F.col("id"))
+    return F.when(key.isNotNull(), F.concat(F.lit(source + ":"), key)).alias("record")
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = PairCounts(_tagged(spark, folder), "record", "tags", min_count=5).against_chance()
+    often = pairs.where(F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b"))
+    return often.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
+
+
+def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = PairCounts(_tagged(spark, folder), "record", "tags").surprising()
+    return pairs.select(
+        F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", "n", "lift", "expected", "p_value", "surprising"
+    )
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode_corpus(table(spark, folder, "documents"))
 
@@ -54,8 +81,28 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_nearest": p1_nearest, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p1_nearest": p1_nearest, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    key = lambda c: rf"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
+    return {
+        "p1_found": f"""with latest as (
+              select {key('doc_id')} as doc_id, backend, model, dim, vector, created_at from vectors where {key('doc_id')} is not null
+              qualify row_number() over (partition by {key('doc_id')}, backend, model order by created_at desc) = 1),
+            usable as (select * from latest where len(vector) = dim and dim > 0
+              and not list_bool_or([x is null or isnan(x) for x in vector]) and list_bool_or([x <> 0 for x in vector]))
+            select a.backend, a.model, a.doc_id as doc_a, b.doc_id as doc_b
+            from usable a join usable b on a.backend = b.backend and a.model = b.model and a.dim = b.dim and a.doc_id < b.doc_id
+            where list_cosine_similarity(a.vector, b.vector) >= {LEAST_COSINE}""",
+        "p4_found": f"""with tagged as (
+              select distinct source, {key('id')} as id, {key('tag')} as tag
+              from (select 'notes' as source, id, unnest(tags) as tag from notes union all select 'sessions', id, unnest(tags) from sessions)),
+            t as (select * from tagged where id is not null and tag is not null),
+            n as (select count(distinct (source, id)) as n from t),
+            per as (select tag, count(*) as c from t group by tag),
+            pairs as (select a.tag as tag_a, b.tag as tag_b, count(*) as n_ab
+              from t a join t b on a.source = b.source and a.id = b.id and a.tag < b.tag group by all)
+            select tag_a, tag_b from pairs, n, per pa, per pb
+            where pa.tag = tag_a and pb.tag = tag_b and n_ab >= 5 and n_ab * n.n >= 3 * pa.c * pb.c""",
+    }
