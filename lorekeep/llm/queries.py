@@ -9,6 +9,7 @@ from lorekeep.functions.keys import norm_id
 from lorekeep.llm.cooccurrence import PairCounts
 from lorekeep.llm.leakage import leaked_spans, without_leaks
 from lorekeep.llm.neighbours import VectorIndex
+from lorekeep.llm.sanitise import Sanitiser, record_texts
 from lorekeep.llm.spans import SharedSpans
 from lorekeep.llm.tokens import encode_corpus
 from lorekeep.sources.tables import table
@@ -33,6 +34,19 @@ def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _sanitiser(spark: SparkSession, folder: str) -> Sanitiser:
+    texts = record_texts(table(spark, folder, "notes"), table(spark, folder, "sessions"))
+    return Sanitiser(texts, table(spark, folder, "pii_labels"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _sanitiser(spark, folder).found().select("source", "id", "field", "kind", "nth").distinct()
+
+
+def p3_replaced(spark: SparkSession, folder: str) -> DataFrame:
+    return _sanitiser(spark, folder).replaced().distinct()
+
+
 def _tagged(spark: SparkSession, folder: str) -> DataFrame:
     """Notes and sessions as records; the source keeps an id of one apart from the same id of the other."""
     return table(spark, folder, "notes").select(_record("notes"), "tags").unionByName(
@@ -81,7 +95,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_nearest": p1_nearest, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_replaced": p3_replaced, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -259,7 +259,7 @@ class SharedSpans:
         text_column: str = "text",
         least: int = 240,
         hot: int = 64,
-        anchors_per_bucket: int = 1_500_000,
+        anchors_per_bucket: int = 500_000,
         most_broadcast_rows: int = 1_000_000,
     ):
         rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
