@@ -174,20 +174,19 @@ def _contexts(least: int, hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
-            seen: set = set()
+            seen: set[int] = set()
             for key, text, places in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "places")), strict=True):
                 for place in places:
                     p = place["position"]
                     if place["n"] <= hot:
-                        values = [(place["bucket"], place["anchor"], key, p, text[max(0, p - period + 1) : p], text[p + width : p + least - 1])]
+                        values = [(place["bucket"], place["anchor"], key, p, text[max(0, p - period + 1) : p], text[p + width : p + least])]
                     else:
                         values = []
                         for s in range(max(0, p - period + 1), min(p, len(text) - least) + 1):
-                            digest = xxhash.xxh3_128_digest(text[s : s + least].encode())
-                            if (digest, key) not in seen:
-                                seen.add((digest, key))
-                                h = int.from_bytes(digest[:8], "little", signed=True)
-                                values.append((-1, h, key, s, digest.hex(), None))
+                            if s not in seen:
+                                seen.add(s)
+                                digest = xxhash.xxh3_128_digest(text[s : s + least].encode())
+                                values.append((-1, int.from_bytes(digest[:8], "little", signed=True), key, s, digest.hex(), None))
                     for value in values:
                         for column, x in zip(rows, value, strict=True):
                             column.append(x)
@@ -297,8 +296,8 @@ class SharedSpans:
 
     def text_pairs(self) -> DataFrame:
         """(key_a, key_b): different texts with a shared span."""
-        a = self.windows.select("before", F.col("key").alias("key_a"))
-        b = self.windows.select("before", F.col("key").alias("key_b"))
+        once = self.windows.select("before", "key").distinct()
+        a, b = once.withColumnRenamed("key", "key_a"), once.withColumnRenamed("key", "key_b")
         hot = a.join(b, "before").where("key_a < key_b").select("key_a", "key_b")
         return self.extended.select("key_a", "key_b").unionByName(hot).distinct()
 
