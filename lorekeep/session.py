@@ -38,9 +38,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local[app]
 
 
+def _own_scratch(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/lorekeep-{spark.sparkContext.applicationId}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes what cut() wrote for this application; DataFrames that still read it fail afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet below scratch_dir and read it again: lineage ends there and survives lost executors."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_scratch(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
