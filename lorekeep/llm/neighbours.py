@@ -22,6 +22,7 @@ from lorekeep.session import cut
 
 SPACE = ["backend", "model", "dim"]
 COLUMN_BLOCK = 16
+MEMBER_ASKS, MEMBER, QUERY = 0, 1, 2  # roles of packed vectors
 SIGNIFICANCE = 2.1
 
 
@@ -127,17 +128,20 @@ class VectorIndex:
 
     The lists' centres are fitted on at most `sample` vectors of a space, drawn by a hash of the id (the one
     bounded sample; it only steers where candidates are sought). List sizes, candidates and results come from
-    all rows. A list expected to exceed `block_rows` members is split into blocks that go to different tasks.
+    all rows. A list expected to exceed `block_rows` members is split into cells that go to different tasks. The
+    centres are broadcast; they number at most sample / 16 a space, and more than `most_spaces` spaces are an error.
     Equal vectors are searched once; every document that has one shares its results.
     """
 
-    def __init__(self, vectors: DataFrame, sample: int = 20_000, list_rows: int = 512, block_rows: int = 20_000, k: int = 10, recall: float = 0.95):
+    def __init__(self, vectors: DataFrame, sample: int = 20_000, list_rows: int = 512, block_rows: int = 20_000, k: int = 10, recall: float = 0.95, most_spaces: int = 1000):
         self.rows = current_vectors(vectors)
         self.spark, self.block_rows = vectors.sparkSession, block_rows
         sizes = {
             tuple(r[c] for c in SPACE): r["n"]
-            for r in vectors.select("backend", "model", F.col("dim").cast("int").alias("dim")).groupBy(*SPACE).agg(F.count("*").alias("n")).collect()
+            for r in vectors.select("backend", "model", F.col("dim").cast("int").alias("dim")).groupBy(*SPACE).agg(F.count("*").alias("n")).limit(most_spaces + 1).collect()
         }
+        if len(sizes) > most_spaces:
+            raise ValueError(f"more than {most_spaces} combinations of backend, model and dim")
         keep = F.lit(False)
         for (backend, model, dim), n in sizes.items():
             here = F.col("backend").eqNullSafe(backend) & F.col("model").eqNullSafe(model) & F.col("dim").eqNullSafe(dim)
@@ -168,13 +172,19 @@ class VectorIndex:
         ]
         self.lists = self.spark.sparkContext.broadcast(lists)
 
-    def _scatter(self, role_of_lists, query: bool) -> DataFrame:
-        """The vectors packed by (space, list, block). role_of_lists(lists, x) -> own list and (row, list) probed."""
+    def _scatter(self, probe, query: bool, members_ask: bool) -> DataFrame:
+        """The vectors packed by (space, list, block, chunk). probe(lists, x) -> own list and (row, list) probed.
+
+        A list of one block gets its members and its queries once. A list of b blocks becomes a grid: its members
+        are spread over b blocks and sent to all chunks, its queries over b chunks and sent to all blocks, so every
+        pair meets in one cell and no cell holds more than a bounded share. With members_ask, members are queries
+        of their own list.
+        """
         number = {s: i for i, s in enumerate(self.spaces)}
         fitted = self.lists
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names = ["space", "list", "block", "member", "ids", "vectors"]
+            names = ["space", "list", "block", "chunk", "role", "ids", "vectors"]
             for batch in batches:
                 spaces = np.array([number.get(s, -1) for s in zip(*(batch.column(c).to_pylist() for c in SPACE), strict=True)], int)
                 all_ids = np.stack([batch.column(c).to_numpy() for c in ("v1", "v2")], 1)
@@ -187,30 +197,42 @@ class VectorIndex:
                     ids, first = np.unique(all_ids[at], axis=0, return_index=True)  # copies in a batch travel once
                     at = at[first]
                     x = _unit(batch.column("vector").take(pa.array(at)), d) @ lists.rotation
-                    own, row, to = role_of_lists(lists, x)
-                    home = ids[:, 0].view(np.uint64) % lists.blocks[own].astype(np.uint64)
-                    sent = [(own, home.astype(int), np.arange(len(x)), True)]
+                    own, row, to = probe(lists, x)
                     asked = asks[at][row]
                     row, to = row[asked], to[asked]
-                    for block in range(int(lists.blocks.max())):
-                        fits = lists.blocks[to] > block
-                        sent.append((to[fits], np.full(fits.sum(), block), row[fits], False))
-                        other = (lists.blocks[own] > block) & (home != block) & asks[at]
-                        sent.append((own[other], np.full(other.sum(), block), np.flatnonzero(other), False))
-                    for lst, block, who, member in sent:
-                        order = np.lexsort((block, lst))
-                        lst, block, who = lst[order], block[order], who[order]
-                        edges = np.flatnonzero(np.concatenate([[len(lst) > 0], (np.diff(lst) != 0) | (np.diff(block) != 0), [len(lst) > 0]]))
+                    hashed = ids[:, 0].view(np.uint64)
+                    split = lists.blocks[own] > 1
+                    if members_ask:  # in a grid, members ask like any query
+                        row, to = np.concatenate([row, np.flatnonzero(split)]), np.concatenate([to, own[split]])
+                    everyone = np.arange(len(x))
+                    zero = np.zeros(len(x), int)
+                    role = MEMBER_ASKS if members_ask else MEMBER
+                    sent = [(own[~split], zero[~split], zero[~split], everyone[~split], role)]
+                    single = lists.blocks[to] == 1
+                    zeros = np.zeros(single.sum(), int)
+                    sent.append((to[single], zeros, zeros, row[single], QUERY))
+                    for k in range(int(lists.blocks.max()) if (lists.blocks > 1).any() else 0):
+                        there = split & (lists.blocks[own] > k)
+                        home = (hashed[there] % lists.blocks[own[there]].astype(np.uint64)).astype(int)
+                        sent.append((own[there], home, np.full(there.sum(), k), everyone[there], MEMBER))
+                        there = ~single & (lists.blocks[to] > k)
+                        chunk = (hashed[row[there]] // np.uint64(7919) % lists.blocks[to[there]].astype(np.uint64)).astype(int)
+                        sent.append((to[there], np.full(there.sum(), k), chunk, row[there], QUERY))
+                    for lst, block, chunk, who, role in sent:
+                        order = np.lexsort((chunk, block, lst))
+                        lst, block, chunk, who = lst[order], block[order], chunk[order], who[order]
+                        changes = (np.diff(lst) != 0) | (np.diff(block) != 0) | (np.diff(chunk) != 0)
+                        edges = np.flatnonzero(np.concatenate([[len(lst) > 0], changes, [len(lst) > 0]]))
                         for a, b in zip(edges[:-1], edges[1:], strict=True):
-                            value = (int(space), int(lst[a]), int(block[a]), member, ids[who[a:b]].tobytes(), x[who[a:b]].tobytes())
+                            value = (int(space), int(lst[a]), int(block[a]), int(chunk[a]), role, ids[who[a:b]].tobytes(), x[who[a:b]].tobytes())
                             for column, v in zip(rows, value, strict=True):
                                 column.append(v)
-                kinds = (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.binary(), pa.binary())
+                kinds = (*[pa.int32()] * 5, pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
         asks = _is_query() if query else F.lit(True)
         packed = self.rows.select(*SPACE, "vector", "v1", "v2", asks.alias("asks"))
-        return packed.mapInArrow(run, "space int, list int, block int, member boolean, ids binary, vectors binary")
+        return packed.mapInArrow(run, "space int, list int, block int, chunk int, role int, ids binary, vectors binary")
 
     def similar(self, least_cosine: float, certainty: float = 3.0) -> DataFrame:
         """(space, a1, a2, b1, b2, cosine): pairs of different vectors with a cosine of at least least_cosine.
@@ -241,7 +263,7 @@ class VectorIndex:
             columns = [np.full(len(f), space, np.int32), *(np.ascontiguousarray(f[n]) for n in f.dtype.names)]
             return pa.table(dict(zip(["space", "a1", "a2", "b1", "b2", "cosine"], columns, strict=True)))
 
-        pairs = self._scatter(probe, False).groupBy("space", "list", "block").applyInArrow(scan, schema)
+        pairs = self._scatter(probe, False, True).groupBy("space", "list", "block", "chunk").applyInArrow(scan, schema)
         return pairs.groupBy("space", "a1", "a2", "b1", "b2").agg(F.max("cosine").alias("cosine"))
 
     def nearest(self, k: int, only_query_set: bool = True) -> DataFrame:
@@ -255,7 +277,7 @@ class VectorIndex:
             return own, row, ranked.ravel()
 
         def scan(table: pa.Table) -> pa.Table:
-            space, mid, m, qid, q = _unpack(table, members_ask=False)
+            space, mid, m, qid, q = _unpack(table)
             out = [np.empty((0, 4), np.int64)], [np.empty(0, np.float32)]
             for a in range(0, len(q), 512):
                 who, where, dist = _top(q[a : a + 512], qid[a : a + 512], m, mid, k)
@@ -267,7 +289,7 @@ class VectorIndex:
 
         from pyspark.sql import Window as W
 
-        best = self._scatter(probe, only_query_set).groupBy("space", "list", "block").applyInArrow(scan, schema).distinct()
+        best = self._scatter(probe, only_query_set, False).groupBy("space", "list", "block", "chunk").applyInArrow(scan, schema).distinct()
         order = W.partitionBy("space", "a1", "a2").orderBy(F.desc("cosine"), "b1", "b2")
         return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -302,23 +324,22 @@ def _is_query():
     return F.coalesce(F.conv(F.substring("doc_id", 1, 8), 16, 10).try_cast("bigint") % 50 == 0, F.lit(False))
 
 
-def _unpack(table: pa.Table, members_ask: bool = True):
-    """Members and queries of one block, each vector once; members of a block ask there themselves."""
-    ids = {True: [], False: []}
-    vectors = {True: [], False: []}
+def _unpack(table: pa.Table):
+    """Space, members (ids, vectors) and queries (ids, vectors) of one cell, each vector once."""
+    parts: dict[int, list] = {MEMBER_ASKS: [], MEMBER: [], QUERY: []}
     d = 0
     for row in table.to_pylist():
-        own = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
-        d = len(row["vectors"]) // 4 // len(own)
-        ids[row["member"]].append(own)
-        vectors[row["member"]].append(np.frombuffer(row["vectors"], np.float32).reshape(-1, d))
-    empty = np.empty((0, 2), np.int64), np.empty((0, d), np.float32)
-    member, first = np.unique(np.concatenate([empty[0], *ids[True]]), axis=0, return_index=True)
-    m = np.concatenate([empty[1], *vectors[True]])[first]
-    asking = [member, *ids[False]] if members_ask else [empty[0], *ids[False]]
-    asking_vectors = [m, *vectors[False]] if members_ask else [empty[1], *vectors[False]]
-    query, first = np.unique(np.concatenate(asking), axis=0, return_index=True)
-    return table.column("space")[0].as_py(), member, m, query, np.concatenate(asking_vectors)[first]
+        ids = np.frombuffer(row["ids"], np.int64).reshape(-1, 2)
+        d = len(row["vectors"]) // 4 // len(ids)
+        parts[row["role"]].append((ids, np.frombuffer(row["vectors"], np.float32).reshape(-1, d)))
+
+    def side(*roles: int) -> tuple[np.ndarray, np.ndarray]:
+        own = [p for r in roles for p in parts[r]]
+        ids = np.concatenate([np.empty((0, 2), np.int64), *(i for i, _ in own)])
+        unique, first = np.unique(ids, axis=0, return_index=True)
+        return unique, np.concatenate([np.empty((0, d), np.float32), *(v for _, v in own)])[first]
+
+    return table.column("space")[0].as_py(), *side(MEMBER_ASKS, MEMBER), *side(MEMBER_ASKS, QUERY)
 
 
 def adaptive_scan(q: np.ndarray, columns: np.ndarray, limits: np.ndarray, significance: float = SIGNIFICANCE):

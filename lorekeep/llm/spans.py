@@ -288,19 +288,27 @@ class SharedSpans:
         )
         split = F.pmod(F.xxhash64("bucket", "anchor"), F.lit(max(16, 8 * n_buckets)))
         extended = around.where("bucket >= 0").groupBy(split).applyInArrow(_extend(least), _PAIRS)
-        windows = around.where("bucket < 0").select("before", "key", "position")
-        self.windows = windows.join(
-            windows.groupBy("before").agg(F.count_distinct("key").alias("n")).where("n > 1").select("before"), "before", "left_semi"
-        )
+        windows = around.where("bucket < 0").select(F.col("before").alias("window"), "key", "position")
+        once = windows.select("window", "key").distinct()
+        marks = [F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "key")).alias("y")]
+        sets = once.groupBy("window").agg(F.count("*").alias("n"), *marks).where("n > 1")
+        self.windows = windows.join(sets.select("window"), "window", "left_semi")
+        # Neighbouring windows of one passage stand in the same texts: one of them speaks for all.
+        speakers = sets.groupBy("n", "x", "y").agg(F.min("window").alias("window")).select("window")
+        self.window_sets = once.join(speakers, "window", "left_semi")
         self.extended = cut(extended.dropDuplicates(["key_a", "key_b", "start_a", "end_a", "start_b", "end_b"]), "spans")
 
     def text_pairs(self) -> DataFrame:
         """(key_a, key_b): different texts with a shared span."""
-        once = self.windows.select("before", "key").distinct()
-        a, b = once.withColumnRenamed("key", "key_a"), once.withColumnRenamed("key", "key_b")
-        hot = a.join(b, "before").where("key_a < key_b").select("key_a", "key_b")
+        a, b = (self.window_sets.withColumnRenamed("key", k) for k in ("key_a", "key_b"))
+        hot = a.join(b, "window").where("key_a < key_b").select("key_a", "key_b")
         return self.extended.select("key_a", "key_b").unionByName(hot).distinct()
 
+    def passages(self) -> DataFrame:
+        """(passage, doc_id): for spans in many records, which records hold them, without making pairs."""
+        sets = self.window_sets.withColumnRenamed("window", "passage")
+        return sets.join(self.members(), "key").select("passage", "doc_id").distinct()
+
     def members(self) -> DataFrame:
         """(key, doc_id): which records carry which text."""
         return self.docs.select("key", "doc_id").distinct()

@@ -175,3 +175,22 @@ def test_counts_grow_by_lift_not_by_case(spark):
     frame = records(spark, [(f"r{i}", ["Äpfel", "äpfel ", "b"]) for i in range(3)])
     assert counted(frame) == {("b", "äpfel"): (3, 3, 3, 3)}
     assert frame.select(F.size("tags")).first()[0] == 3
+
+
+def test_dense_third_is_split_into_cells(spark):
+    """A third of all vectors in one tight cluster: its lists become grids, and no pair is lost."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((600, 32))
+    x[:200] = x[0] + rng.standard_normal((200, 32)) * 0.15
+    frame = vectors(spark, [(f"d{i:05}", "b", "m", 32, v.tolist(), "1") for i, v in enumerate(x.astype(np.float32))])
+    index = neighbours.VectorIndex(frame, list_rows=300, block_rows=20)
+    assert max(lists.blocks.max() for lists in index.lists.value) > 4
+    want = brute(x, 0.95)
+    got = {(r["doc_a"], r["doc_b"]) for r in index.document_pairs(0.95).collect()}
+    assert len(want) > 10_000 and got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_too_many_spaces_is_an_error(spark):
+    rows = [(f"d{i}", f"b{i}", "m", 2, [1.0, 2.0], "1") for i in range(5)]
+    with pytest.raises(ValueError):
+        neighbours.VectorIndex(vectors(spark, rows), most_spaces=4)

@@ -206,3 +206,16 @@ def test_labelled_sample(spark, folder):
 
 def test_placeholders_are_typed():
     assert all(re.fullmatch("[a-z_]+", k) for k in sanitise.KINDS)
+
+
+def test_boilerplate_in_a_third_of_all_records(spark):
+    rng = random.Random(12)
+    make = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    long, short = make(300), make(200)
+    rows = [make(200) + (long if i % 3 == 0 else short if i % 3 == 1 else "") + make(200) for i in range(90)]
+    shared = spans.SharedSpans(texts(spark, rows), hot=10)
+    holders = set(range(0, 90, 3))
+    assert {r["doc_id"] for r in shared.passages().collect()} == holders
+    assert shared.window_sets.select("window").distinct().count() < shared.windows.select("window").distinct().count()
+    assert {tuple(r) for r in shared.record_pairs().collect()} == {(a, b) for a in holders for b in holders if a < b}
+    assert {r["doc_id"]: r["n_shared"] for r in shared.shares().collect()}.keys() == holders
