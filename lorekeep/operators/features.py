@@ -14,16 +14,22 @@ def norm_type(c: Column) -> Column:
     return F.nullif(F.translate(F.lower(F.btrim(c, F.lit(BLANKS))), "-", "_"), F.lit(""))
 
 
-def heavy_groups(rows: DataFrame, columns: list[str], least_share: float, tracked: int = 10_000) -> list[str]:
-    """Joined keys of the groups that hold at least least_share of all rows (at most 1 / least_share of them).
+def heavy_groups(rows: DataFrame, keys: list[list[str]], least_share: float, tracked: int = 10_000) -> list[list[tuple[str, ...]]]:
+    """For each list of columns, the groups that hold at least least_share of all rows (at most 1 / least_share).
 
-    A frequent-items sketch finds them in one pass without a shuffle of the rows. It only steers where rows go;
-    no result depends on it.
+    Frequent-items sketches find them in one pass without a shuffle of the rows. They may miss a group near the
+    limit but name only groups that exist; they steer where rows go, and no result depends on them.
     """
-    key = F.concat_ws("\x1f", *columns)
     most = min(1000, max(1, int(1 / least_share)))
-    row = rows.select(key.alias("k")).agg(F.count("*").alias("n"), F.expr(f"approx_top_k(k, {most}, {tracked})").alias("top")).first()
-    return [x["item"] for x in row["top"] or [] if x["count"] >= least_share * row["n"]]
+    joined = rows.select(*(F.concat_ws("\x1f", *columns).alias(f"k{i}") for i, columns in enumerate(keys)))
+    sketches = [F.expr(f"approx_top_k(k{i}, {most}, {tracked})").alias(f"k{i}") for i in range(len(keys))]
+    row = joined.agg(F.count("*").alias("n"), *sketches).first()
+    heavy = [[x["item"].split("\x1f") for x in row[f"k{i}"] or [] if x["count"] >= least_share * row["n"]] for i in range(len(keys))]
+    return [[tuple(x) for x in items if len(x) == len(columns)] for items, columns in zip(heavy, keys, strict=True)]
+
+
+def _is_one_of(columns: list[str], groups: list[tuple[str, ...]]) -> Column:
+    return F.concat_ws("\x1f", *columns).isin(["\x1f".join(g) for g in groups]) if groups else F.lit(False)
 
 
 def type_cells(
@@ -44,18 +50,25 @@ def type_cells(
 
     Two stages: groups with over heavy_share of the rows are spread over `salts` by their instant, the same
     instant always under the same salt, so duplicates meet; each (entity, type, salt) is reduced to partial
-    statistics behind one exchange, and a second, small one merges them.
+    statistics behind one exchange, and a second, small one merges them (without heavy groups the first is enough).
+    One access repeated over heavy_share of the rows is taken out before the exchange and put back as the single
+    row it counts as.
     """
     named = events.select(
         norm_id(F.col(entity)).alias("entity"), norm_type(F.col(event_type)).alias("event_type"), F.col(at).alias("time")
-    ).where("entity is not null and event_type is not null")
-    heavy = heavy_groups(named, ["entity", "event_type"], heavy_share)
-    rows = named.select("entity", "event_type", instant_micros(F.col("time")).alias("at")).where(F.col("at") < as_of_micros)
-    spread = F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")
-    is_heavy = F.concat_ws("\x1f", "entity", "event_type").isin(heavy) if heavy else F.lit(False)
-    salted = rows.withColumn("salt", F.when(is_heavy, spread).otherwise(F.lit(0)))
-    once = salted.repartition("entity", "event_type", "salt").dropDuplicates(["entity", "event_type", "salt", "at"])
-    partial = once.groupBy("entity", "event_type", "salt").agg(
+    ).where("entity is not null and event_type is not null and time is not null")
+    group, access = ["entity", "event_type"], ["entity", "event_type", "time"]
+    heavy, repeated = heavy_groups(named, [group, access], heavy_share)
+    if repeated:
+        once_each = events.sparkSession.createDataFrame(repeated, "entity string, event_type string, time string")
+        named = named.where(~_is_one_of(access, repeated)).unionByName(once_each)
+    rows = named.select(*group, instant_micros(F.col("time")).alias("at")).where(F.col("at") < as_of_micros)
+    keys = group
+    if heavy:
+        spread = F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")
+        rows, keys = rows.withColumn("salt", F.when(_is_one_of(group, heavy), spread).otherwise(F.lit(0))), [*group, "salt"]
+    once = rows.repartition(*keys).dropDuplicates([*keys, "at"])
+    partial = once.groupBy(*keys).agg(
         F.count_if(F.col("at") >= as_of_micros - window_micros).alias("n_window"),
         F.count("*").alias("n_total"),
         F.max("at").alias("last_at"),

@@ -47,17 +47,23 @@ def sessions(spark: SparkSession, folder: str) -> DataFrame:
     return latest(table(spark, folder, "sessions"), ["id"], "created", "summary", "what_happened", "title")
 
 
-def corpus(spark: SparkSession, folder: str) -> DataFrame:
-    """id, type, category, title, content, tags, created, updated, date, branch, project, session_id of all notes
-    and sessions. A note's date is the day it was created; a session's content is all its text."""
-    n = notes(spark, folder).select(
+def as_corpus(notes: DataFrame, sessions: DataFrame) -> DataFrame:
+    """id, type, category, title, content, tags, created, updated, date, branch, project, session_id of notes and
+    sessions. A note's date is the day it was created; a session's content is all its text."""
+    created = notes.schema["created"].dataType
+    n = notes.select(
         "id", F.lit("note").alias("type"), "category", "title", "content", "tags", "created", "updated",
         F.date_format("created", "yyyy-MM-dd").alias("date"), F.lit(None).cast("string").alias("branch"),
         F.lit(None).cast("string").alias("project"), F.col("metadata")["session_id"].alias("session_id"),
-    )
-    s = sessions(spark, folder).select(
+    )
+    s = sessions.select(
         "id", F.lit("session").alias("type"), F.lit(None).cast("string").alias("category"), "title",
-        searchable().alias("content"), "tags", "created", F.lit(None).cast("timestamp_ntz").alias("updated"),
+        searchable().alias("content"), "tags", F.col("created").cast(created), F.lit(None).cast(created).alias("updated"),
         "date", "branch", "project", "session_id",
-    )
+    )
     return n.unionByName(s)
+
+
+def corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """as_corpus of the current rows of both tables."""
+    return as_corpus(notes(spark, folder), sessions(spark, folder))

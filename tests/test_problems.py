@@ -73,8 +73,14 @@ def test_skewed_groups_against_counting(spark, heavy_share):
 
 def test_heavy_groups(spark):
     rows = spark.createDataFrame([("a", "x")] * 60 + [(f"b{i}", "y") for i in range(40)], "e string, t string")
-    assert features.heavy_groups(rows, ["e", "t"], 0.3) == ["a\x1fx"]
-    assert features.heavy_groups(rows.limit(0), ["e", "t"], 0.3) == []
+    assert features.heavy_groups(rows, [["e", "t"], ["t"]], 0.3) == [[("a", "x")], [("x",), ("y",)]]
+    assert features.heavy_groups(rows.limit(0), [["e", "t"]], 0.3) == [[]]
+
+
+def test_one_access_repeated_over_a_third_of_the_log(spark):
+    rows = [("hot", "get", "999999")] * 1000 + [("hot ", "GET", "999999")] * 3 + [(f"e{i}", "get", str(i)) for i in range(2000)]
+    got = cells(log(spark, rows))
+    assert got["hot", "get"] == (1, 1, 999999 * 10**6) and len(got) == 2001
 
 
 REFS = "source string, space string, key string, period string, n_references int, shard int, words string, maybe string"
