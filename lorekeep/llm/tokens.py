@@ -101,7 +101,7 @@ def encode_corpus(
     id_column: str = "doc_id",
     text_column: str = "text",
     vocabulary: str = VOCABULARY,
-    leaf_chars: int = 16_384,
+    leaf_chars: int = 4096,
     part_chars: int = 1 << 20,
 ) -> DataFrame:
     """(doc_id, ids array<int>) of every row; a null or empty text gives an empty list.
@@ -145,13 +145,13 @@ def encode_corpus(
     numbers = F.sequence(F.lit(0), F.floor((n - 1) / part_chars).cast("int"))
     parts = (
         rows.where(n > part_chars)
-        .withColumn("row", F.uuid())
+        .withColumn("row", F.monotonically_increasing_id())
         .select("row", "doc_id", "text", F.explode(numbers).alias("part"))
         .select("row", "doc_id", "part", F.col("text").substr(F.col("part") * part_chars + 1, F.lit(part_chars)).alias("text"))
         .repartition("row", "part")
     )
     long = (
-        parts.mapInArrow(encode_part, f"row string, doc_id {id_type}, part int, text string, ids array<int>")
+        parts.mapInArrow(encode_part, f"row long, doc_id {id_type}, part int, text string, ids array<int>")
         .groupBy("row")
         .applyInArrow(join_parts, f"doc_id {id_type}, ids array<int>")
     )
