@@ -119,4 +119,8 @@ def oracle_sql() -> dict[str, str]:
               from t a join t b on a.source = b.source and a.id = b.id and a.tag < b.tag group by all)
             select tag_a, tag_b from pairs, n, per pa, per pb
             where pa.tag = tag_a and pb.tag = tag_b and n_ab >= 5 and n_ab * n.n >= 3 * pa.c * pb.c""",
+        "p8_found": """with w as (
+              select distinct doc_id, hash(substr(text, i, 240)) as h, hash('x' || substr(text, i, 240)) as g
+              from (select doc_id, text, unnest(range(1, length(text) - 238)) as i from documents where length(text) >= 240))
+            select distinct a.doc_id as doc_a, b.doc_id as doc_b from w a join w b on a.h = b.h and a.g = b.g and a.doc_id < b.doc_id""",
     }
