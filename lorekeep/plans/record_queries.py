@@ -375,6 +375,15 @@ def oracle_sql() -> dict[str, str]:
             l as (select a.category, a.class_id, count(*) as n_links from k2 a join k2 b on a.category = b.category and a.class_id <> b.class_id
               and len(list_intersect(a.words, b.words)) / least(len(a.words), len(b.words)) >= 0.5 group by all)
             select category, class_id, n_rows, coalesce(n_links, 0) as n_links from k2 left join l using (category, class_id)""",
+        "tag_unions": f"""{c}, t as (select id, list_filter(list_transform(coalesce(tags, []), lambda t: trim(t)), lambda t: t is not null and t <> '') as x from n)
+            select id, list_filter(x, lambda t, i: list_position(list_transform(x, lambda y: lower(y)), lower(t)) = i) as tags from t""",
+        "sessions_merged": f"""{c}, k as (select *, case when trim(coalesce(session_id, '')) = '' then concat_ws(chr(31), 'day', date, project, branch) else 'id' || chr(31) || session_id end as key from s),
+            m as (select key, list(id order by created nulls first, id) as ids, list(title order by created nulls first, id) as titles, count(*) as n_reports,
+              coalesce(string_agg(nullif(summary, ''), chr(10) || chr(10) order by created nulls first, id), '') as s,
+              coalesce(string_agg(nullif(what_happened, ''), chr(10) || chr(10) order by created nulls first, id), '') as w,
+              flatten(list(coalesce(decisions, []) order by created nulls first, id)) as d from k group by key)
+            select ids[1] as id, titles[-1] as title, n_reports, length(s)::int as n_summary, md5(w) as digest,
+              list_filter(d, lambda x, i: list_position(d, x) = i) as decisions from m""",
         "changed_paths": f"""{c}, x as (select project, created, id, unnest(changes) as ch, generate_subscripts(changes, 1) as i from s where project is not null and created is not null),
             f as (select project, ch.path as path, ch.description as d, min(struct_pack(a := created, b := id, c := i)) as o from x where ch.path is not null group by all)
             select project, path, coalesce(string_agg(d, '; ' order by o), '') as description from f group by project, path""",
