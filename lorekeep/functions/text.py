@@ -36,8 +36,9 @@ _ACCENTED, _BARE = _accents()
 
 
 def fold(c: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _BARE), r"\p{Mn}", "")
+    """Lower case without diacritics; ASCII text, the usual case, needs no more than the lower case."""
+    bare = F.regexp_replace(F.translate(F.lower(c), _ACCENTED, _BARE), r"\p{Mn}", "")
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(bare)
 
 
 def search_form(c: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.keys import BLANKS, norm_id
 from lorekeep.functions.times import instant_micros
+from lorekeep.session import cut
 
 
 def norm_type(c: Column) -> Column:
@@ -93,7 +94,7 @@ def feature_table(
     Every row carries the complete sorted list of types seen anywhere; types an entity never had count 0 and
     have a null recency. The list is held by the driver, so more than most_types distinct types is an error.
     """
-    cells = type_cells(events, entity, event_type, at, as_of_micros, window_micros, **options)
+    cells = cut(type_cells(events, entity, event_type, at, as_of_micros, window_micros, **options), "cells")
     found = [r[0] for r in cells.select("event_type").distinct().limit(most_types + 1).collect()]
     if len(found) > most_types:
         raise ValueError(f"more than {most_types} event types")

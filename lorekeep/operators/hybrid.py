@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.session import cut
+
 KEYWORD_WEIGHT, SEMANTIC_WEIGHT = 0.7, 0.3
 
 
@@ -15,7 +17,8 @@ def fuse(keyword: DataFrame, semantic: DataFrame, limit: int = 20) -> DataFrame:
     missing on one side adds 0 for it. If one side is empty the other comes out with its raw scores. Both sides
     are top lists of bounded length, so their extremes are taken by one small aggregate each.
     """
-    k, s = keyword.select("id", F.col("score").alias("k")), semantic.select("id", F.col("score").alias("s"))
+    k = cut(keyword.select("id", F.col("score").alias("k")), "keyword")  # each side is read twice below
+    s = cut(semantic.select("id", F.col("score").alias("s")), "semantic")
     ends = lambda df, c: df.agg(F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"), F.count("*").alias(f"{c}_n"))
     both = k.join(s, "id", "full_outer").join(F.broadcast(ends(k, "k")), how="cross").join(F.broadcast(ends(s, "s")), how="cross")
 

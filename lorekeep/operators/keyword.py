@@ -67,12 +67,14 @@ def bm25(docs: DataFrame, query: Query | str) -> DataFrame:
     """
     query = Query.parse(query) if isinstance(query, str) else query
     units = query.units()
-    forms = docs.withColumns(
-        {f"_{f}": search_form(F.array_join(f, " ") if f == "tags" else F.col(f)) for f in FIELDS}
-    ).withColumns(
-        {"_length": sum((n_words(F.col(f"_{f}")) for f in FIELDS[1:]), n_words(F.col("_title")))}
-        | {f"_tf{i}": _occurrences(u) for i, u in enumerate(units)}
-    )
+    # inline() keeps each search form and count a column that is computed once: a filter on plain columns would be
+    # pushed below them and compute them again.
+    once = lambda columns: F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    texts = {f"_{f}": search_form(F.array_join(f, " ") if f == "tags" else F.col(f)) for f in FIELDS}
+    counts = {"_length": sum((n_words(F.col(f"_{f}")) for f in FIELDS[1:]), n_words(F.col("_title")))}
+    counts |= {f"_tf{i}": _occurrences(u) for i, u in enumerate(units)}
+    counts |= {f"_no{i}": _occurrences(u) for i, u in enumerate(query.excluded)}
+    forms = docs.select("*", once(texts)).select(*docs.columns, once(counts))
     found = forms.agg(
         F.count("*").alias("n"), F.avg("_length").alias("mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"n{i}") for i in range(len(units)))
     ).first()
@@ -90,9 +92,9 @@ def bm25(docs: DataFrame, query: Query | str) -> DataFrame:
             hit = hit & one[unit][0]
         score = score + F.when(hit, sum((one[u][1] for u in group[1:]), one[group[0]][1])).otherwise(0.0)
         matched = matched | hit
-    for unit in query.excluded:
-        matched = matched & (_occurrences(unit) == 0)
-    return forms.where(matched).withColumn("score", score).drop(*(c for c in forms.columns if c.startswith("_")))
+    for i in range(len(query.excluded)):
+        matched = matched & (F.col(f"_no{i}") == 0)
+    return forms.where(matched).withColumn("score", score).drop(*counts)
 
 
 @dataclass

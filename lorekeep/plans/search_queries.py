@@ -11,6 +11,7 @@ from lorekeep.functions.text import TERM_STOP_WORDS, id8, note_preview
 from lorekeep.operators import weights
 from lorekeep.operators.hybrid import fuse
 from lorekeep.operators.keyword import Facets, Query, bm25, note_search, search, session_search
+from lorekeep.session import cut
 from lorekeep.sources.corpus import corpus
 from lorekeep.sources.tables import table
 
@@ -80,7 +81,7 @@ def _semantic(spark: SparkSession, folder: str, limit: int) -> DataFrame:
     """Rows of the corpus most similar to QUERY_TEXT by TF-IDF."""
     docs = corpus(spark, folder)
     n = docs.count()
-    counts = weights.term_counts(docs, "id", F.col("content"))
+    counts = cut(weights.term_counts(docs, "id", F.col("content")), "counts")  # used three times
     frequency = weights.document_frequency(counts)
     asked = docs.sparkSession.createDataFrame([("query", QUERY_TEXT)], "id string, text string")
     query = weights.tfidf(weights.term_counts(asked, "id", F.col("text")), frequency, n)
