@@ -194,11 +194,13 @@ class VectorIndex:
                     at = np.flatnonzero(spaces == space)
                     lists = fitted.value[space]
                     d = len(lists.rotation)
-                    ids, first = np.unique(all_ids[at], axis=0, return_index=True)  # copies in a batch travel once
+                    ids, first, copy_of = np.unique(all_ids[at], axis=0, return_index=True, return_inverse=True)  # copies in a batch travel once
+                    asking = np.zeros(len(ids), bool)
+                    np.logical_or.at(asking, copy_of.ravel(), asks[at])  # and ask if any of them asks
                     at = at[first]
                     x = _unit(batch.column("vector").take(pa.array(at)), d) @ lists.rotation
                     own, row, to = probe(lists, x)
-                    asked = asks[at][row]
+                    asked = asking[row]
                     row, to = row[asked], to[asked]
                     hashed = ids[:, 0].view(np.uint64)
                     split = lists.blocks[own] > 1
@@ -301,6 +303,29 @@ class VectorIndex:
         same = [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in SPACE]
         return self.rows.join(F.broadcast(named), same).select("space", "backend", "model", "doc_id", "v1", "v2").distinct()
 
+    def nearest_documents(self, k: int) -> DataFrame:
+        """(backend, model, doc_id, rank, near_doc, cosine): the k most similar other documents of each document
+        of the query set, those with an equal vector included; among equal cosines the smaller id is first.
+
+        Of each vector at most the k + 1 smallest ids are looked at, more can't be among the nearest k: one vector
+        in a third of all documents costs no more than any other. Windows over them are cut before the shuffle.
+        """
+        from pyspark.sql import Window as W
+
+        members = self.members()
+        asking = members.where(_is_query()).withColumnsRenamed({"v1": "a1", "v2": "a2"})
+        own = asking.select("space", "a1", "a2", F.col("a1").alias("b1"), F.col("a2").alias("b2"), F.lit(1.0).cast("float").alias("cosine")).distinct()
+        near = own.unionByName(self.nearest(k).drop("rank"))
+        of_vector = W.partitionBy("space", "b1", "b2").orderBy("near_doc")
+        copies = members.select("space", F.col("v1").alias("b1"), F.col("v2").alias("b2"), F.col("doc_id").alias("near_doc"))
+        few = copies.withColumn("n", F.row_number().over(of_vector)).where(F.col("n") <= k + 1).select("space", "b1", "b2", "near_doc")
+        of_asking = W.partitionBy("space", "a1", "a2").orderBy(F.desc("cosine"), "near_doc")
+        best = near.join(few, ["space", "b1", "b2"]).withColumn("n", F.row_number().over(of_asking)).where(F.col("n") <= k + 1)
+        of_doc = W.partitionBy("space", "doc_id").orderBy(F.desc("cosine"), "near_doc")
+        found = asking.join(best.drop("b1", "b2", "n"), ["space", "a1", "a2"]).where("near_doc <> doc_id")
+        ranked = found.withColumn("rank", F.row_number().over(of_doc)).where(F.col("rank") <= k)
+        return ranked.select("backend", "model", "doc_id", "rank", "near_doc", "cosine")
+
     def document_pairs(self, least_cosine: float) -> DataFrame:
         """(backend, model, doc_a, doc_b, cosine), the smaller id first: every pair of documents whose vectors
         have at least this cosine, documents with equal vectors included."""

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.llm import cooccurrence, neighbours
+from lorekeep.llm import cooccurrence, neighbours, queries
 
 SCHEMA = "doc_id string, backend string, model string, dim int, vector array<float>, created_at string, space int, v1 string, latest string"
 
@@ -194,3 +194,23 @@ def test_too_many_spaces_is_an_error(spark):
     rows = [(f"d{i}", f"b{i}", "m", 2, [1.0, 2.0], "1") for i in range(5)]
     with pytest.raises(ValueError):
         neighbours.VectorIndex(vectors(spark, rows), most_spaces=4)
+
+
+def test_nearest_documents_of_shared_vectors(spark, tmp_path):
+    """A third of all documents have one vector, and the first of them is not in the query set."""
+    x = data(300)
+    x[1::3] = x[1]
+    frame = vectors(spark, [(f"{i:08x}-x", "b", "m", 32, v.tolist(), "1") for i, v in enumerate(x)])
+    frame.coalesce(1).write.parquet(str(tmp_path / "vectors.parquet"))
+    got = {}
+    for r in queries.p1_nearest(spark, str(tmp_path)).orderBy("doc_id", "rank").collect():
+        got.setdefault(int(r["doc_id"][:8], 16), []).append((int(r["near_doc"][:8], 16), r["cosine"]))
+    assert got.keys() == set(range(0, 300, 50))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for i, near in got.items():
+        assert len(near) == 10 and i not in [j for j, _ in near]
+        if i % 3 == 1:
+            assert near == [(j, 1.0) for j in range(1, 40, 3) if j != i][:10]
+        else:
+            best = np.sort(np.delete(u @ u[i], i))[::-1][:10]
+            assert sum(abs(c - b) < 1e-4 for (_, c), b in zip(near, best, strict=True)) >= 9
