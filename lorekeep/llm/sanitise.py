@@ -13,6 +13,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,6 +33,8 @@ _LOCAL = re.compile(r"(?<![\w.+\-])[A-Za-z0-9À-ÿ][A-Za-z0-9À-ÿ._%+\-]*$")
 _DOMAIN = re.compile(rf"(?:{_LABEL}{_DOT})+[A-Za-z]{{2,24}}(?![\w@])(?!:[~/])", re.I)
 _SPELT_DOMAIN = re.compile(rf"(?:{_LABEL}\sdot\s)+[A-Za-z]{{2,24}}(?!\w)", re.I)
 _LONGEST_LOCAL = 128
+# Articles stand before names of things. Those that are prepositions in another language are left out.
+_ARTICLES = frozenset("the this that der die das dem des ein eine einem einer le la les une el los las una il lo gli uno".split())
 # A text without any of these holds no phone or identity number.
 _NUMBER_HINT = re.compile(r"\d{6}|\d[ /\-]\(?\d|\)[ .\-]?\d|\d\d\.\d\d\.\d\d|\d{3}\.\d{3}\.\d{4}")
 _EXTENSION = r"(?:,?\s?(?:ext\.?|extension|x|durchwahl|poste)\s?\d{1,6})?"
@@ -202,26 +205,35 @@ def split_name(mention: str) -> tuple[str | None, str | None]:
 
 def _count_terms(given: set[str], family: set[str]):
     """Map side of the corpus statistics, counted per batch: occurrences of each term (role null), and of each
-    term beside each protected term (as_given: before a family name, as_family: after a given name)."""
+    term beside each protected term (as_given: before a family name, as_family: after a given name), with how many
+    of these are written like a name (capital, nothing but a gap between) and how many follow an article."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter = Counter()
+            beside: dict[tuple, list[int]] = {}
             for text in batch.column("text").to_pylist():
-                words = WORD.findall(lower_in_place(text))
+                low = lower_in_place(text)
+                words = WORD.findall(low)
                 n.update(words)
                 if not given.isdisjoint(words) or not family.isdisjoint(words):
+                    places = [m.span() for m in WORD.finditer(low)]
                     for i in range(len(words) - 1):
-                        a, b = words[i], words[i + 1]
+                        a, b, j = words[i], words[i + 1], i + 1
                         if len(b) == 1 and i + 2 < len(words):
-                            b = words[i + 2]
-                        if b in family:
-                            n[a, "as_given", b] += 1
-                        if a in given:
-                            n[b, "as_family", a] += 1
-            keys = [k if isinstance(k, tuple) else (k, None, None) for k in n]
-            columns = [pa.array(c, pa.string()) for c in (zip(*keys, strict=True) if keys else ([], [], []))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(n.values(), pa.int64())], ["term", "role", "partner", "n"])
+                            b, j = words[i + 2], i + 2
+                        article = i > 0 and words[i - 1] in _ARTICLES and text[places[i - 1][1] : places[i][0]].isspace()
+                        gap = (b in family or a in given) and _is_gap(text[places[i][1] : places[j][0]])
+                        for key, at, there in (((a, "as_given", b), i, b in family), ((b, "as_family", a), j, a in given)):
+                            if there:
+                                counts = beside.setdefault(key, [0, 0, 0])
+                                counts[0] += 1
+                                counts[1] += gap and text[places[at][0]].isupper()
+                                counts[2] += article
+            rows = [(t, None, None, c, 0, 0) for t, c in n.items()] + [(*k, *c) for k, c in beside.items()]
+            kinds = [pa.string()] * 3 + [pa.int64()] * 3
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "role", "partner", "n", "named", "article"])
 
     return run
 
@@ -230,27 +242,31 @@ class Sanitiser:
     """Finds and replaces personal information in texts (source, id, field, text).
 
     labels (source, id, field, kind, mention) is a hand-labelled sample; at most label_rows of its names, drawn
-    by a hash, give the first protected terms. Further ones are found by co-occurrence over all texts, in
-    at most `rounds` passes. A term must have been beside least_partners different protected terms: a product named
-    after one person stands beside one only. Null and empty
+    by a hash, give the first protected terms. Further ones are found by co-occurrence over all texts, in passes
+    until one finds none (or `rounds` passes, if given). A product named after a person also stands beside a
+    protected term, but beside one only: a term of less than least_partners different ones is accepted by the
+    pair it is in, if most of its places there are written like a name and at most `articles` of them follow an
+    article, which names in a corpus hardly ever do. Null and empty
     texts hold no mention; extra columns are ignored; without labels no names are found, the other kinds are.
     The list of disclosing terms is broadcast; more than most_terms is an error rather than a silent cut.
     """
 
-    def __init__(self, texts: DataFrame, labels: DataFrame, share: float = 0.85, rounds: int = 3, least_partners: int = 3, label_rows: int = 50_000, most_terms: int = 2_000_000):
+    def __init__(self, texts: DataFrame, labels: DataFrame, share: float = 0.85, rounds: int | None = None, least_partners: int = 3, articles: float = 0.1, label_rows: int = 50_000, most_terms: int = 2_000_000):
         self.texts = texts.select("source", "id", "field", "text").where("text <> ''")
         self.spark = texts.sparkSession
         named = labels.where("kind = 'name' and mention is not null").select("mention").distinct()
         sample = named.orderBy(F.xxhash64("mention"), "mention").limit(label_rows).collect()
         split = [split_name(r["mention"]) for r in sample]
         given, family = {g for g, _ in split if g}, {f for _, f in split if f}
-        for _ in range(rounds if given and family else 0):
+        for done in count():
+            if not given or not family or done == rounds:
+                break
             known = len(given) + len(family)
             counts = (
                 self.texts.select("text")
-                .mapInArrow(_count_terms(given, family), "term string, role string, partner string, n long")
+                .mapInArrow(_count_terms(given, family), "term string, role string, partner string, n long, named long, article long")
                 .groupBy("term", "role", "partner")
-                .agg(F.sum("n").alias("n"))
+                .agg(*(F.sum(c).alias(c) for c in ("n", "named", "article")))
             )
             beside = lambda role: F.col("role").eqNullSafe(role)
             counts = cut(
@@ -258,6 +274,7 @@ class Sanitiser:
                     F.sum(F.when(F.col("role").isNull(), F.col("n"))).alias("n"),
                     *(F.sum(F.when(beside(r), F.col("n"))).alias(r) for r in ("as_given", "as_family")),
                     *(F.count_if(beside(r)).alias(f"{r}_partners") for r in ("as_given", "as_family")),
+                    *(F.sum(F.when(beside(r), F.col(c))).alias(f"{r}_{c}") for r in ("as_given", "as_family") for c in ("named", "article")),
                 ),
                 "terms",
             )
@@ -265,7 +282,8 @@ class Sanitiser:
             for role, terms in (("as_given", given), ("as_family", family)):
                 if total[role]:
                     least = math.exp(-(1 - share) * math.log(total["n"] / total[role]))  # PMI >= share * IC, as p(c | t)
-                    new = counts.where((F.col(f"{role}_partners") >= least_partners) & (F.col(role) >= least * F.col("n")) & (F.length("term") > 1))
+                    like_name = (2 * F.col(f"{role}_named") > F.col(role)) & (F.col(f"{role}_article") <= articles * F.col(role))
+                    new = counts.where(((F.col(f"{role}_partners") >= least_partners) | like_name) & (F.col(role) >= least * F.col("n")) & (F.length("term") > 1))
                     found = new.select("term").limit(most_terms + 1).collect()
                     if len(found) > most_terms:
                         raise ValueError(f"more than {most_terms} disclosing terms")

@@ -184,6 +184,18 @@ def test_names_are_learned_from_the_corpus(spark):
     assert first["text"] == "Ask [NAME] about the lock." and first["n_mentions"] == 1
 
 
+def test_names_beside_one_partner_and_in_late_passes(spark):
+    """A surname beside one given name only, a chain of names each known through the one before, and a product."""
+    chain = {"Bela Aalto": 16, "Bela Bexley": 8, "Cora Bexley": 4, "Cora Corvin": 2}
+    rows = ["ask Anna Zweigard about it", "The Anna Protocol draft is late."] * 30
+    rows += [f"ask {name} about it" for name, n in chain.items() for _ in range(n)]
+    rows += ["nothing here at all, just words about the lock and the queue"] * 300
+    labels = spark.createDataFrame([("name", "Anna Aalto")], "kind string, mention string")
+    s = sanitise.Sanitiser(notes(spark, rows), labels)
+    assert s.given == {"anna", "bela", "cora"} and s.family == {"aalto", "zweigard", "bexley", "corvin"}
+    assert s.found().count() == 30 + 30
+
+
 def test_numbers_of_mentions_and_replacement(spark):
     rows = ["a@b.example, (212) 555-0119 and c@d.example", None, "", "no mention"]
     empty = spark.createDataFrame([], "kind string, mention string")
