@@ -236,19 +236,18 @@ class VectorIndex:
         packed = self.rows.select(*SPACE, "vector", "v1", "v2", asks.alias("asks"))
         return packed.mapInArrow(run, "space int, list int, block int, chunk int, role int, ids binary, vectors binary")
 
-    def similar(self, least_cosine: float, certainty: float = 3.0) -> DataFrame:
+    def similar(self, least_cosine: float) -> DataFrame:
         """(space, a1, a2, b1, b2, cosine): pairs of different vectors with a cosine of at least least_cosine.
 
-        Two vectors r apart lie on both sides of a border between lists, which is at most r / 2 from one of
-        them; along a random direction that is r / (2 sqrt(D)) times a normal value. A vector therefore probes
-        the lists whose border is within certainty * r / (2 sqrt(D)), of which about 0.3 % of the pairs across
-        a border escape at certainty 3, and the scan drops about 2 % of pairs that lie just at the limit.
+        Of two vectors r apart on both sides of a border between lists, one is at most r / 2 from it, whatever the
+        rank of the vectors. A vector therefore probes every list whose border is within r / 2, and no pair across a
+        border escapes; the scan drops about 2 % of pairs that lie just at the limit.
         """
         limit = 2 - 2 * least_cosine
         schema = "space int, a1 long, a2 long, b1 long, b2 long, cosine float"
 
         def probe(lists: Lists, x: np.ndarray):
-            return lists.near(x, certainty * np.sqrt(limit / len(lists.rotation)) / 2)
+            return lists.near(x, np.sqrt(limit) / 2 + 1e-5)  # more than single precision loses
 
         def scan(table: pa.Table) -> pa.Table:
             space, mid, m, qid, q = _unpack(table)

@@ -214,3 +214,18 @@ def test_nearest_documents_of_shared_vectors(spark, tmp_path):
         else:
             best = np.sort(np.delete(u @ u[i], i))[::-1][:10]
             assert sum(abs(c - b) < 1e-4 for (_, c), b in zip(near, best, strict=True)) >= 9
+
+
+def test_similar_pairs_of_low_rank(spark):
+    """Vectors of rank 4 in 64 dimensions: near ones differ along the centres' differences."""
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((6000, 4)) @ rng.standard_normal((4, 64))).astype(np.float32)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    close = rng.choice(6000, 500, replace=False)
+    frame = vectors(spark, [(f"d{i:05}", "b", "m", 64, v.tolist(), "1") for i, v in enumerate(x)])
+    index = neighbours.VectorIndex(frame, list_rows=150)
+    got = {frozenset((r["doc_a"], r["doc_b"])) for r in index.document_pairs(0.99).collect()}
+    pairs = [(a, b) for a in close for b in np.flatnonzero(u @ u[a] >= 0.9905) if a != b]
+    missed = sum(frozenset((f"d{a:05}", f"d{b:05}")) not in got for a, b in pairs)
+    assert len(index.lists.value[0].centroids) >= 30 and len(pairs) > 1000
+    assert missed <= 0.02 * len(pairs)
