@@ -118,6 +118,11 @@ def merge_related(rows: DataFrame, key: str = "key") -> DataFrame:
     return first_by(rows.withColumn("short", id8(F.col("id"))), [key, "short"], F.desc(F.length("id")), F.col("seq")).drop("short")
 
 
+def merge_problems(rows: DataFrame, key: str = "key") -> DataFrame:
+    """Problems by their text; the first of each stays."""
+    return first_by(rows, [key, "problem"], F.col("seq"))
+
+
 def merge_sections(rows: DataFrame, key: str = "key") -> DataFrame:
     """(key, name, content) of (key, seq, name, content): sections by name without regard to case; the first
     spelling stays and differing contents follow one another."""
@@ -135,9 +140,26 @@ def session_key(session_id: Column, date: Column, project: Column, branch: Colum
     return F.when(blank, F.concat_ws("\x1f", F.lit("day"), date, project, branch)).otherwise(F.concat(F.lit("id\x1f"), session_id))
 
 
+def _merged_list(keyed: DataFrame, name: str) -> DataFrame:
+    """(key, name): the list of structs `name` of all reports of a key, merged by its kind, in order of appearance."""
+    merge, by = {
+        "changes": (merge_changes, F.col("path")), "problems": (merge_problems, F.col("problem")),
+        "related_notes": (merge_related, id8(F.col("id"))), "extra_sections": (merge_sections, F.lower("name")),
+    }[name]
+    fields = keyed.schema[name].dataType.elementType.names
+    rows = keyed.select("key", F.struct("created", "id").alias("s"), F.posexplode(name).alias("at", "c")).where("c is not null")
+    rows = rows.select("key", F.struct("s.created", "s.id", "at").alias("seq"), "c.*")
+    places = rows.groupBy("key", by.alias("by")).agg(F.min("seq").alias("place")).withColumnRenamed("key", "k")
+    merged = merge(rows).withColumn("_by", by)
+    placed = merged.join(places, (F.col("key") == F.col("k")) & F.col("_by").eqNullSafe(F.col("by")))
+    items = F.sort_array(F.collect_list(F.struct("place", F.struct(*fields).alias("c"))))
+    return placed.groupBy("key").agg(F.transform(items, lambda x: x["c"]).alias(name))
+
+
 def merge_sessions(sessions: DataFrame) -> DataFrame:
     """One row per session_key: the id of the oldest report, the title of the newest, tags with the newest first,
-    texts one after another by created, lists united in order. A key's reports are merged by ordered lists, so
+    texts one after another by created, lists united in order; changes, problems, related notes and extra sections,
+    if the table has them, are merged by path, problem, id and name. A key's reports are merged by ordered lists, so
     nothing but the reports of one session ever meets in a row."""
     keyed = sessions.withColumn("key", session_key(F.col("session_id"), F.col("date"), F.col("project"), F.col("branch")))
     order = F.struct("created", "id", "title", "tags", "summary", "what_happened", "decisions", "insights", "questions", "next_steps")
@@ -145,12 +167,16 @@ def merge_sessions(sessions: DataFrame) -> DataFrame:
     texts = lambda name: F.array_join(F.filter(F.transform("r", lambda x: F.coalesce(x[name], F.lit(""))), lambda t: t != ""), "\n\n")
     union = lambda name: F.array_distinct(F.flatten(F.transform("r", lambda x: F.coalesce(x[name], F.array()))))
     newest_tags = F.flatten(F.transform(F.reverse("r"), lambda x: F.coalesce(x["tags"], F.array())))
-    return grouped.select(
+    merged = grouped.select(
         "key", F.col("r")[0]["id"].alias("id"), F.element_at("r", -1)["title"].alias("title"), "n_reports",
         tag_union(newest_tags, F.array().cast("array<string>")).alias("tags"),
         texts("summary").alias("summary"), texts("what_happened").alias("what_happened"),
         *(union(c).alias(c) for c in ("decisions", "insights", "questions", "next_steps")),
     )
+    for name in ("changes", "problems", "related_notes", "extra_sections"):
+        if name in sessions.columns:
+            merged = merged.join(_merged_list(keyed, name), "key", "left").withColumn(name, F.coalesce(name, F.array()))
+    return merged
 
 
 def fold_notes(notes: DataFrame) -> DataFrame:

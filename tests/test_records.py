@@ -176,3 +176,21 @@ def test_registered(spark, folder, name):
     from lorekeep.plans import record_queries
 
     assert record_queries.queries()[name](spark, folder).count() > 0
+
+
+def test_merged_sessions_keep_their_lists_of_structs(spark):
+    lists = "changes array<struct<path:string,description:string>>, problems array<struct<problem:string,solution:string>>, related_notes array<struct<id:string,title:string,category:string>>, extra_sections array<struct<name:string,content:string>>"
+    plain = "id string, session_id string, date string, project string, branch string, created string, title string, tags array<string>, summary string, what_happened string, decisions array<string>, insights array<string>, questions array<string>, next_steps array<string>, "
+    same = ["2025", "p", "b"]
+    blank = ["t", None, None, None, None, None, None, None]
+    rows = [
+        ("1", "s", *same, "1", *blank, [("z", "one"), ("a", "x")], [("p", "first")], [("12345678", "n", "c")], [("Map", "m")]),
+        ("2", "s", *same, "2", *blank, [("z", "two"), ("z", "one")], [("p", "later"), ("q", "s")], [("12345678-full", "n", "c")], [("map", "k"), ("New", "n")]),
+        ("3", "other", *same, "1", *blank, None, [], None, None),
+    ]
+    got = {r["id"]: r for r in dedup.merge_sessions(spark.createDataFrame(rows, plain + lists)).collect()}
+    assert [tuple(x) for x in got["1"]["changes"]] == [("z", "one; two"), ("a", "x")]
+    assert [tuple(x) for x in got["1"]["problems"]] == [("p", "first"), ("q", "s")]
+    assert [x["id"] for x in got["1"]["related_notes"]] == ["12345678-full"]
+    assert [tuple(x) for x in got["1"]["extra_sections"]] == [("Map", "m\n\nk"), ("New", "n")]
+    assert got["3"]["changes"] == got["3"]["problems"] == got["3"]["related_notes"] == got["3"]["extra_sections"] == []
