@@ -23,6 +23,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select("backend", "model", "doc_a", "doc_b")
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with the class of its vector and to how many other classes there is a link."""
+    return VectorIndex(table(spark, folder, "vectors")).linked_classes(LEAST_COSINE)
+
+
 def p1_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The 10 most similar documents of each document of the query set (ids divisible by 50), copies included."""
     return VectorIndex(table(spark, folder, "vectors")).nearest_documents(10).withColumn("cosine", F.round("cosine", 4))
@@ -89,18 +94,24 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_replaced": p3_replaced, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_replaced": p3_replaced, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
     key = lambda c: rf"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
-    return {
-        "p1_found": f"""with latest as (
+    usable = f"""latest as (
               select {key('doc_id')} as doc_id, backend, model, dim, vector, created_at from vectors where {key('doc_id')} is not null
               qualify row_number() over (partition by {key('doc_id')}, backend, model order by created_at desc) = 1),
             usable as (select * from latest where len(vector) = dim and dim > 0
-              and not list_bool_or([x is null or isnan(x) for x in vector]) and list_bool_or([x <> 0 for x in vector]))
-            select a.backend, a.model, a.doc_id as doc_a, b.doc_id as doc_b
+              and not list_bool_or([x is null or isnan(x) for x in vector]) and list_bool_or([x <> 0 for x in vector]))"""
+    return {
+        "p1_classes": f"""with {usable}, classes as (select backend, model, vector, min(doc_id) as class_id from usable group by all),
+            links as (select a.class_id, a.backend, a.model, count(*) as n from classes a join classes b
+              on a.backend = b.backend and a.model = b.model and len(a.vector) = len(b.vector) and a.class_id <> b.class_id
+              where list_cosine_similarity(a.vector, b.vector) >= {LEAST_COSINE} group by all)
+            select u.backend, u.model, doc_id, class_id, coalesce(links.n, 0) as n_links
+            from usable u join classes using (backend, model, vector) left join links using (backend, model, class_id)""",
+        "p1_found": f"""with {usable} select a.backend, a.model, a.doc_id as doc_a, b.doc_id as doc_b
             from usable a join usable b on a.backend = b.backend and a.model = b.model and a.dim = b.dim and a.doc_id < b.doc_id
             where list_cosine_similarity(a.vector, b.vector) >= {LEAST_COSINE}""",
         "p4_found": f"""with tagged as (

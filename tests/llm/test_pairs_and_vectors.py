@@ -32,7 +32,7 @@ def brute(x, least):
     return {(f"d{a:05}", f"d{b:05}") for a, b in zip(i, j, strict=True)}
 
 
-@pytest.mark.parametrize("options", [{}, {"list_rows": 60, "block_rows": 25}])
+@pytest.mark.parametrize("options", [{}, {"list_rows": 60, "block_rows": 25}, {"list_rows": 20, "sample": 300}, {"list_rows": 20, "centre_bytes": 32 * 4 * 7}])
 def test_similar_pairs(spark, options):
     x = data()
     frame = vectors(spark, [(f"d{i:05}", "b", "m", 32, v.tolist(), "2025-01-01T00:00:00Z") for i, v in enumerate(x)])
@@ -41,10 +41,11 @@ def test_similar_pairs(spark, options):
     assert len(want) > 100 and got <= want and len(got) >= 0.97 * len(want)
 
 
-def test_recall_of_nearest(spark):
+@pytest.mark.parametrize("options", [{"list_rows": 60, "block_rows": 40}, {"list_rows": 15, "sample": 320}])
+def test_recall_of_nearest(spark, options):
     x = data(900)
     frame = vectors(spark, [(f"{i:08x}-x", "b", "m", 32, v.tolist(), "1") for i, v in enumerate(x)])
-    index = neighbours.VectorIndex(frame, list_rows=60, block_rows=40, k=5)
+    index = neighbours.VectorIndex(frame, k=5, **options)
     ids = {(r["v1"], r["v2"]): r["doc_id"] for r in index.members().collect()}
     got = Counter()
     for r in index.nearest(5, only_query_set=False).collect():
@@ -73,6 +74,32 @@ def test_current_vectors(spark):
     assert pairs == [(None, None, "t", "u")]
 
 
+def test_lists_are_bounded_by_rows_and_by_the_broadcast(spark):
+    """Two levels where the sample is small against the collection; fewer, longer lists where centres take too much."""
+    frame = vectors(spark, [(f"d{i:05}", "b", "m", 32, v.tolist(), "1") for i, v in enumerate(data(2000))])
+    two = neighbours.VectorIndex(frame, list_rows=20, sample=300).lists.value[0]
+    assert len(two.centres) > 2.5 * len(two.top) and two.start[-1] == len(two.centres) == len(two.blocks)
+    few = neighbours.VectorIndex(frame, list_rows=20, sample=300, centre_bytes=32 * 4 * 30).lists.value[0]
+    assert len(few.centres) <= 30
+
+
+def test_many_old_versions_lose_no_space(spark):
+    """20 documents of 100 versions each beside a larger space: all 190 pairs of the small one come out."""
+    rng = np.random.default_rng(7)
+    near = (rng.standard_normal(8) + rng.standard_normal((20, 8)) * 0.01).astype(np.float32)
+    rows = [(f"d{i}", "b", "small", 8, (near[i] if v == 99 else rng.standard_normal(8)).tolist(), str(v)) for i in range(20) for v in range(100)]
+    rows += [(f"e{i}", "b", "large", 8, rng.standard_normal(8).tolist(), "1") for i in range(300)]
+    for sample in (1, 20, 20_000):
+        index = neighbours.VectorIndex(vectors(spark, rows), sample=sample)
+        assert len(index.spaces) == 2 and index.document_pairs(0.95).where("model = 'small'").count() == 190
+
+
+def test_classes_and_their_links(spark):
+    rows = [(f"d{i}", "b", "m", 2, [1.0, 2.0], "1") for i in range(4)] + [("e", "b", "m", 2, [2.0, 4.1], "1"), ("f", "b", "m", 2, [-1.0, 2.0], "1")]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in neighbours.VectorIndex(vectors(spark, rows)).linked_classes(0.95).collect()}
+    assert got == {f"d{i}": ("d0", 1) for i in range(4)} | {"e": ("e", 1), "f": ("f", 0)}
+
+
 def test_no_vectors(spark):
     assert neighbours.VectorIndex(vectors(spark, [])).document_pairs(0.95).count() == 0
     assert neighbours.VectorIndex(vectors(spark, [("a", "b", "m", 2, None, "1")])).nearest(3, False).count() == 0
@@ -216,16 +243,19 @@ def test_nearest_documents_of_shared_vectors(spark, tmp_path):
             assert sum(abs(c - b) < 1e-4 for (_, c), b in zip(near, best, strict=True)) >= 9
 
 
-def test_similar_pairs_of_low_rank(spark):
-    """Vectors of rank 4 in 64 dimensions: near ones differ along the centres' differences."""
+@pytest.mark.parametrize(("n", "rank"), [(6000, 4), (6000, 8), (800, 4)])
+def test_similar_pairs_of_low_rank(spark, n, rank):
+    """Vectors of rank 4 or 8 in 64 dimensions: near ones differ along the centres' differences."""
     rng = np.random.default_rng(3)
-    x = (rng.standard_normal((6000, 4)) @ rng.standard_normal((4, 64))).astype(np.float32)
+    x = (rng.standard_normal((n, rank)) @ rng.standard_normal((rank, 64))).astype(np.float32)
+    x[1::2] = x[::2] + 0.13 * np.linalg.norm(x[::2], axis=1, keepdims=True) / 8 * (rng.standard_normal((n // 2, rank)) @ rng.standard_normal((rank, 64))) / np.sqrt(rank)
+    x = x.astype(np.float32)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
-    close = rng.choice(6000, 500, replace=False)
+    close = rng.choice(n, min(n, 500), replace=False)
     frame = vectors(spark, [(f"d{i:05}", "b", "m", 64, v.tolist(), "1") for i, v in enumerate(x)])
-    index = neighbours.VectorIndex(frame, list_rows=150)
+    index = neighbours.VectorIndex(frame, list_rows=n // 40)
     got = {frozenset((r["doc_a"], r["doc_b"])) for r in index.document_pairs(0.99).collect()}
     pairs = [(a, b) for a in close for b in np.flatnonzero(u @ u[a] >= 0.9905) if a != b]
     missed = sum(frozenset((f"d{a:05}", f"d{b:05}")) not in got for a, b in pairs)
-    assert len(index.lists.value[0].centroids) >= 30 and len(pairs) > 1000
+    assert len(index.lists.value[0].centres) >= 30 and len(pairs) > 300
     assert missed <= 0.02 * len(pairs)
