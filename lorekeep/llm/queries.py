@@ -93,8 +93,13 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
     return SharedSpans(table(spark, folder, "documents")).shares()
 
 
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by passage that is in many of them, without pairs."""
+    return SharedSpans(table(spark, folder, "documents")).passages()
+
+
 def queries():
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_replaced": p3_replaced, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_replaced": p3_replaced, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares, "p8_passages": p8_passages}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -95,15 +95,18 @@ def common(a, b, least):
     return any(b[i : i + least] in seen for i in range(len(b) - least + 1))
 
 
-@pytest.mark.parametrize(("least", "hot"), [(240, 64), (240, 1), (40, 64), (40, 2), (5, 64)])
-def test_shared_spans_against_brute_force(spark, least, hot):
+@pytest.mark.parametrize(
+    ("least", "hot", "options"),
+    [(240, 64, {}), (240, 1, {}), (40, 64, {"sample_least": 2}), (40, 2, {"sample_least": 3, "most_broadcast_rows": 0}), (5, 64, {}), (240, 64, {"sample_chars": 0}), (40, 1, {"sample_chars": 3000, "sample_least": 2})],
+)
+def test_shared_spans_against_brute_force(spark, least, hot, options):
     rng = random.Random(least)
     make = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
     passages = [make(least + extra) for extra in (0, 1, least, 3 * least)] + [make(least - 1)]
     rows = [make(rng.randrange(3 * least)) + rng.choice([*passages, ""]) + make(rng.randrange(3 * least)) for _ in range(40)]
     rows += [None, "", "short", "=" * (2 * least), "-" + "=" * (least + 3), rows[0], rows[0], "日🙂" + passages[1]]
     want = {(i, j) for j in range(len(rows)) for i in range(j) if rows[i] and rows[j] and common(rows[i], rows[j], least)}
-    shared = spans.SharedSpans(texts(spark, rows), least=least, hot=hot)
+    shared = spans.SharedSpans(texts(spark, rows), least=least, hot=hot, **options)
     assert {tuple(r) for r in shared.record_pairs().collect()} == want
     covered = {r["doc_id"]: (r["n_chars"], r["n_shared"]) for r in shared.shares().collect()}
     windows = defaultdict(set)
@@ -228,6 +231,20 @@ def test_boilerplate_in_a_third_of_all_records(spark):
     shared = spans.SharedSpans(texts(spark, rows), hot=10)
     holders = set(range(0, 90, 3))
     assert {r["doc_id"] for r in shared.passages().collect()} == holders
-    assert shared.window_sets.select("window").distinct().count() < shared.windows.select("window").distinct().count()
+    assert shared.window_sets.select("window").distinct().count() < 61 and shared.windows.count() == len(holders)
     assert {tuple(r) for r in shared.record_pairs().collect()} == {(a, b) for a in holders for b in holders if a < b}
     assert {r["doc_id"]: r["n_shared"] for r in shared.shares().collect()}.keys() == holders
+
+
+def test_one_passage_in_very_many_records(spark):
+    """4,000 texts share 2,000 characters: no bucket holds them, no pairs are made, and each text costs a few rows."""
+    from pyspark.sql import functions as F
+
+    passage = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(2000))
+    own = lambda seed: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.md5(F.concat_ws("-", "id", i, F.lit(seed)))), " ")
+    docs = spark.range(4_000).select(F.col("id").alias("doc_id"), F.concat(own("a"), F.lit(passage), own("b")).alias("text"))
+    shared = spans.SharedSpans(docs, sample_chars=1 << 20)
+    assert shared.anchors.where("bucket >= 0").groupBy("bucket", "anchor").count().where("count > 64").count() == 0
+    assert shared.extended.count() == 0 and shared.windows.count() == 4_000
+    held = shared.passages()
+    assert held.groupBy("passage").count().agg(F.max("count")).first()[0] == 4_000 and held.count() < 10 * 4_000
