@@ -337,7 +337,7 @@ def _tagged(least: int, shared):
             new = np.ones(len(text), bool)
             new[1:] = (text[1:] != text[:-1]) | (position[1:] > position[:-1] + least)
             starts = np.flatnonzero(new)
-            ends = np.append(starts[1:], len(text)) - 1
+            ends = np.append(starts[1:], len(text))[: len(starts)] - 1
             keys = np.array(batch.column("key").to_pylist(), dtype=object)
             speaker = np.flatnonzero(speaks[at])
             rows = [(keys[text[i]], int(first[at[i]]), int(second[at[i]]), None, None) for i in speaker]
