@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorekeep.session import cut
+
 _FORMAT = regex.compile(r"\p{Cf}+")
 _WORD = re.compile(r"[^\W_]+")
 _CHUNK = re.compile(r"\S+")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2 ** 64
+_PIECE = 1 << 20  # characters hashed at a time
 
 
 def words(text: str) -> list[str]:
@@ -26,49 +29,38 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def _window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit polynomial hash of every n consecutive ids."""
-    out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
-    for k in range(n):
-        out = out * _BASE + ids[k : k + len(out)]
-    return out
-
-
-class GramSet:
-    """The n-grams of the evaluation texts: word ids, sorted hashes, and the items behind each gram."""
-
-    def __init__(self, items: list[tuple[int, str | None]], n: int):
-        self.n, self.word_ids = n, {}
-        self.items: dict[bytes, set[int]] = defaultdict(set)
-        hashes = []
-        for item, text in items:
-            ids = np.array([self.word_ids.setdefault(w, len(self.word_ids) + 1) for w in words(text or "")], np.uint64)
-            hashes.append(_window_hashes(ids, n))
-            for i in range(len(ids) - n + 1):
-                self.items[ids[i : i + n].tobytes()].add(item)
-        self.items = dict(self.items)
-        self.hashes = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
-
-    def hits(self, texts: list[str]) -> Iterator[tuple[int, int, set[int]]]:
-        """(text number, word number, items) of every window that is a gram of an item."""
-        get = self.word_ids.get
-        ids, starts = [], []
-        for text in texts:
-            starts.append(len(ids))
-            ids.extend([get(w, 0) for w in words(text)])
-            ids.append(0)
-        if not len(self.hashes) or not ids:
-            return
-        flat = np.array(ids, np.uint64)
-        unknown = np.concatenate([[0], np.cumsum(flat == 0)])
-        known = np.flatnonzero(unknown[self.n :] == unknown[: len(flat) - self.n + 1])
-        found = _window_hashes(flat, self.n)[known]
-        at = np.searchsorted(self.hashes, found)
-        at[at == len(self.hashes)] = 0
-        for i in known[self.hashes[at] == found]:
-            if hit := self.items.get(flat[i : i + self.n].tobytes()):  # verifies the words themselves
-                text = int(np.searchsorted(starts, i, side="right")) - 1
-                yield text, int(i) - starts[text], hit
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def gram_hashes(texts: list[list[str]], n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(text number, a 64-bit hash of every n consecutive words) of the texts that have so many: the words are joined
+    by blanks and hashed as one string, by differences of a running sum over many texts at a time."""
+    long = [(k, w) for k, w in enumerate(texts) if len(w) >= n]
+    group, size = [], 0
+    for i, (k, w) in enumerate(long):
+        joined = " ".join(w)
+        group.append((k, w, joined))
+        size += len(joined)
+        if size < _PIECE and i + 1 < len(long):
+            continue
+        codes = np.frombuffer("".join(j for _, _, j in group).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        codes = (codes + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        codes ^= codes >> np.uint64(29)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(_BASE, len(codes)))])
+        back = _powers(pow(_BASE, -1, 1 << 64), len(codes) + 1)
+        at = 0
+        for k, w, joined in group:
+            lengths = np.fromiter(map(len, w), np.int64, len(w))
+            ends = at + np.cumsum(lengths + 1) - 1
+            starts = ends - lengths
+            found = (sums[ends[n - 1 :]] - sums[starts[: len(w) - n + 1]]) * back[starts[: len(w) - n + 1]]
+            found ^= found >> np.uint64(32)
+            yield k, (found * np.uint64(0x94D049BB133111EB)).view(np.int64)
+            at += len(joined)
+        group, size = [], 0
 
 
 def _char_spans(text: str) -> list[tuple[int, int]]:
@@ -84,8 +76,8 @@ def leaked_spans(
     doc_text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    most_items: int = 200_000,
-    most_chars: int = 64 << 20,
+    most_grams: int = 8_000_000,
+    most_broadcast_mb: int = 64,
 ) -> DataFrame:
     """(item_id, doc_id, start, end): maximal raw character spans of a document that hold at least n consecutive
     words of an item, in order and without gap; one row for each item and span, doc_id order free.
@@ -93,51 +85,55 @@ def leaked_spans(
     Null, empty and shorter items and null or empty documents give no rows; repeated items each give theirs.
     Spans end at blanks, so punctuation glued to a word goes with it. Extra columns are ignored.
 
-    The items' n-grams are broadcast as a hash set, so each document is scanned where it is read, without a
-    shuffle. Their number is checked first: past most_items rows or most_chars characters, the items are split
-    by hash into as many slices and the corpus is scanned once for each slice.
+    The items' n-grams are written once. Only the sorted array of their hashes is broadcast, 8 bytes each, so each
+    document is scanned where it is read, without a shuffle; past most_grams distinct hashes the windows' hashes
+    are joined instead, in the same single scan. Hits are verified by a join on the words themselves, which is a
+    broadcast while the grams take at most most_broadcast_mb, and neighbouring hits of an item become one span.
     """
     spark = docs.sparkSession
     tests = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
-    size = tests.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
-    slices = max(1, -(-size["rows"] // most_items), -(-size["chars"] // most_chars))
     corpus = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_text).alias("text")).where("text is not null")
-    doc_type, item_type = (x.schema[0].dataType.simpleString() for x in (corpus, tests))
-    schema = f"item_id {item_type}, doc_id {doc_type}, start int, end int"
-    out = None
-    for k in range(slices):
-        own = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == k) if slices > 1 else tests
-        grams = spark.sparkContext.broadcast(GramSet([tuple(r) for r in own.collect()], n))
-        found = corpus.mapInArrow(_scanner(grams, n, schema_types=(tests.schema[0], corpus.schema[0])), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _scanner(grams, n: int, schema_types):
+    item_type, doc_type = (x.schema[0].dataType.simpleString() for x in (tests, corpus))
+    grams = tests.mapInArrow(_grams(n, tests.schema[0], None), f"item_id {item_type}, at int, start int, end int, hash long, gram string")
+    grams = cut(grams.select("hash", "gram", "item_id").distinct(), "grams")
+    size = grams.agg(F.count_distinct("hash").alias("n"), F.coalesce(F.sum(F.octet_length("gram") + 40), F.lit(0)).alias("bytes")).first()
+    hashes = grams.select("hash").distinct()
+    found = f"doc_id {doc_type}, at int, start int, end int, hash long, gram string"
+    if size["n"] <= most_grams:
+        known = spark.sparkContext.broadcast(np.sort(hashes.toArrow().column("hash").to_numpy()))
+        hits = corpus.mapInArrow(_grams(n, corpus.schema[0], known), found)
+    else:
+        hits = corpus.mapInArrow(_grams(n, corpus.schema[0], None), found).join(hashes, "hash", "left_semi")
+    if size["bytes"] <= most_broadcast_mb << 20:
+        grams = F.broadcast(grams)
+    leaks = hits.join(grams, ["hash", "gram"]).select("item_id", "doc_id", "at", "start", "end").distinct()
+    run = F.col("at") - F.row_number().over(W.partitionBy("item_id", "doc_id").orderBy("at"))
+    return leaks.withColumn("run", run).groupBy("item_id", "doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+
+
+def _grams(n: int, id_field, known):
+    """(id, at, start, end, hash, gram) of the n-grams of each text: all of them, or those whose hash is in known."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    item_type, doc_type = (to_arrow_type(f.dataType) for f in schema_types)
+    id_type = to_arrow_type(id_field.dataType)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            by_text: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-            for text, word, items in grams.value.hits(texts):
-                for item in items:
-                    by_text[text][item].append(word)
-            rows: tuple[list, ...] = ([], [], [], [])
-            for text, items in by_text.items():
-                spans = _char_spans(texts[text])
-                for item, at in items.items():
-                    breaks = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1] + 1), len(at)]
-                    for a, b in zip(breaks, breaks[1:], strict=False):
-                        row = (item, batch.column("doc_id")[text].as_py(), spans[at[a]][0], spans[at[b - 1] + n - 1][1])
-                        for column, value in zip(rows, row, strict=True):
-                            column.append(value)
-            types = (item_type, doc_type, pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["item_id", "doc_id", "start", "end"]
-            )
+            cut_up = [words(t) for t in texts]
+            rows: list[tuple] = []
+            for k, found in gram_hashes(cut_up, n):
+                if known is None:
+                    hit = np.arange(len(found))
+                else:
+                    at = np.minimum(np.searchsorted(known.value, found), len(known.value) - 1)
+                    hit = np.flatnonzero(known.value[at] == found) if len(known.value) else ()
+                if len(hit):
+                    own, spans = batch.column(0)[k].as_py(), _char_spans(texts[k])
+                    rows += [(own, int(i), spans[i][0], spans[i + n - 1][1], int(found[i]), " ".join(cut_up[k][i : i + n])) for i in hit]
+            types = (id_type, *[pa.int32()] * 3, pa.int64(), pa.string())
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [id_field.name, "at", "start", "end", "hash", "gram"])
 
     return scan
 

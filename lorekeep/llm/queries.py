@@ -64,6 +64,13 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return often.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
 
 
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The exact counts behind p4_pairs, without the null model."""
+    return PairCounts(_tagged(spark, folder), "record", "tags").counts().select(
+        F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", "n"
+    )
+
+
 def p4_pairs(spark: SparkSession, folder: str) -> DataFrame:
     pairs = PairCounts(_tagged(spark, folder), "record", "tags").surprising()
     return pairs.select(
@@ -99,11 +106,19 @@ def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries():
-    return {"p1_found": p1_found, "p1_classes": p1_classes, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_replaced": p3_replaced, "p4_found": p4_found, "p4_pairs": p4_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares, "p8_passages": p8_passages}
+    return {"p1_found": p1_found, "p1_classes": p1_classes, "p1_nearest": p1_nearest, "p3_found": p3_found, "p3_replaced": p3_replaced, "p4_found": p4_found, "p4_counts": p4_counts, "p4_pairs": p4_pairs, "p6_ids": p6_ids, "p7_found": p7_found, "p7_clean": p7_clean, "p8_found": p8_found, "p8_shares": p8_shares, "p8_passages": p8_passages}
 
 
 def oracle_sql() -> dict[str, str]:
     key = lambda c: rf"nullif(lower(regexp_replace({c}, '^\s+|\s+$', '', 'g')), '')"
+    tagged = f"""tagged as (
+              select distinct source, {key('id')} as id, {key('tag')} as tag
+              from (select 'notes' as source, id, unnest(tags) as tag from notes union all select 'sessions', id, unnest(tags) from sessions)),
+            t as (select * from tagged where id is not null and tag is not null),
+            n as (select count(distinct (source, id)) as n from t),
+            per as (select tag, count(*) as c from t group by tag),
+            pairs as (select a.tag as tag_a, b.tag as tag_b, count(*) as n_ab
+              from t a join t b on a.source = b.source and a.id = b.id and a.tag < b.tag group by all)"""
     usable = f"""latest as (
               select {key('doc_id')} as doc_id, backend, model, dim, vector, created_at from vectors where {key('doc_id')} is not null
               qualify row_number() over (partition by {key('doc_id')}, backend, model order by created_at desc) = 1),
@@ -119,15 +134,9 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": f"""with {usable} select a.backend, a.model, a.doc_id as doc_a, b.doc_id as doc_b
             from usable a join usable b on a.backend = b.backend and a.model = b.model and a.dim = b.dim and a.doc_id < b.doc_id
             where list_cosine_similarity(a.vector, b.vector) >= {LEAST_COSINE}""",
-        "p4_found": f"""with tagged as (
-              select distinct source, {key('id')} as id, {key('tag')} as tag
-              from (select 'notes' as source, id, unnest(tags) as tag from notes union all select 'sessions', id, unnest(tags) from sessions)),
-            t as (select * from tagged where id is not null and tag is not null),
-            n as (select count(distinct (source, id)) as n from t),
-            per as (select tag, count(*) as c from t group by tag),
-            pairs as (select a.tag as tag_a, b.tag as tag_b, count(*) as n_ab
-              from t a join t b on a.source = b.source and a.id = b.id and a.tag < b.tag group by all)
-            select tag_a, tag_b from pairs, n, per pa, per pb
+        "p4_counts": f"""with {tagged} select tag_a, tag_b, n_ab, pa.c as n_a, pb.c as n_b, n.n as n from pairs, n, per pa, per pb
+            where pa.tag = tag_a and pb.tag = tag_b""",
+        "p4_found": f"""with {tagged} select tag_a, tag_b from pairs, n, per pa, per pb
             where pa.tag = tag_a and pb.tag = tag_b and n_ab >= 5 and n_ab * n.n >= 3 * pa.c * pb.c""",
         "p8_found": """with w as (
               select distinct doc_id, hash(substr(text, i, 240)) as h, hash('x' || substr(text, i, 240)) as g

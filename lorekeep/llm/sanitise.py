@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 from itertools import count
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,10 +30,11 @@ _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?"
 _DOT = r"(?:\.|\s?\[dot\]\s?|\s?\(dot\)\s?|\sdot\s)"
 _AT = re.compile(r"@|\s?\(@\)\s?|\s?\[@\]\s?|\s?\[at\]\s?|\s?\(at\)\s?", re.I)
 _SPELT_AT = re.compile(r"\sat\s", re.I)
-_LOCAL = re.compile(r"(?<![\w.+\-])[A-Za-z0-9À-ÿ][A-Za-z0-9À-ÿ._%+\-]*$")
+_LOCAL_CHARACTER = r"A-Za-z0-9À-ÿ._%+\-"
+_LOCAL = re.compile(rf"(?<![\w.+\-])[A-Za-z0-9À-ÿ][{_LOCAL_CHARACTER}]*$")
+_NOT_LOCAL = re.compile(rf"[^{_LOCAL_CHARACTER}]")
 _DOMAIN = re.compile(rf"(?:{_LABEL}{_DOT})+[A-Za-z]{{2,24}}(?![\w@])(?!:[~/])", re.I)
 _SPELT_DOMAIN = re.compile(rf"(?:{_LABEL}\sdot\s)+[A-Za-z]{{2,24}}(?!\w)", re.I)
-_LONGEST_LOCAL = 128
 # Articles stand before names of things. Those that are prepositions in another language are left out.
 _ARTICLES = frozenset("the this that der die das dem des ein eine einem einer le la les une el los las una il lo gli uno".split())
 # A text without any of these holds no phone or identity number.
@@ -101,13 +103,21 @@ _GAP = re.compile(r",?\s")
 _MIDDLE = re.compile(r"\s[^\W\d_]\.\s")
 
 
+def _local_part(text: str, end: int) -> re.Match | None:
+    """The local part of a mail address that ends before `end`, of any length."""
+    start = end
+    while start > 0 and not _NOT_LOCAL.match(text[start - 1]):
+        start -= 1
+    return _LOCAL.search(text, start, end)
+
+
 def _emails(text: str) -> Iterator[tuple[int, int, str]]:
     """Mail addresses around each at-sign, however it is written; ' at ' counts with ' dot ' only."""
     forms = [(_AT, _DOMAIN)] if "@" in text or "at]" in text or "at)" in text else []
     forms += [(_SPELT_AT, _SPELT_DOMAIN)] if " dot " in text else []
     for at, domain in forms:
         for m in at.finditer(text):
-            local = _LOCAL.search(text, max(0, m.start() - _LONGEST_LOCAL), m.start())
+            local = _local_part(text, m.start())
             rest = domain.match(text, m.end()) if local else None
             if rest:
                 yield local.start(), rest.end(), "email"
@@ -203,34 +213,43 @@ def split_name(mention: str) -> tuple[str | None, str | None]:
     return (plain[0] if plain else None), (family[0].lower() if family else None)
 
 
-def _count_terms(given: set[str], family: set[str]):
-    """Map side of the corpus statistics, counted per batch: occurrences of each term (role null), and of each
-    term beside each protected term (as_given: before a family name, as_family: after a given name), with how many
-    of these are written like a name (capital, nothing but a gap between) and how many follow an article."""
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map side of the corpus statistics: occurrences of each term, counted per batch."""
+    for batch in batches:
+        n: Counter = Counter()
+        for text in batch.column("text").to_pylist():
+            n.update(WORD.findall(lower_in_place(text)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["term", "n"])
+
+
+def _count_beside(known):
+    """known holds all given and family names, the new ones of both, and an automaton of the new ones. Occurrences of each term beside each newly protected term (as_given: before a family name, as_family: after a
+    given name), with how many of these are written like a name (capital, nothing but a gap between) and how many
+    follow an article; per batch. Only texts that hold a new term are cut into words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, family, new_given, new_family, found_here = known.value
         for batch in batches:
-            n: Counter = Counter()
             beside: dict[tuple, list[int]] = {}
             for text in batch.column("text").to_pylist():
                 low = lower_in_place(text)
-                words = WORD.findall(low)
-                n.update(words)
-                if not given.isdisjoint(words) or not family.isdisjoint(words):
-                    places = [m.span() for m in WORD.finditer(low)]
-                    for i in range(len(words) - 1):
-                        a, b, j = words[i], words[i + 1], i + 1
-                        if len(b) == 1 and i + 2 < len(words):
-                            b, j = words[i + 2], i + 2
-                        article = i > 0 and words[i - 1] in _ARTICLES and text[places[i - 1][1] : places[i][0]].isspace()
-                        gap = (b in family or a in given) and _is_gap(text[places[i][1] : places[j][0]])
-                        for key, at, there in (((a, "as_given", b), i, b in family), ((b, "as_family", a), j, a in given)):
-                            if there:
-                                counts = beside.setdefault(key, [0, 0, 0])
-                                counts[0] += 1
-                                counts[1] += gap and text[places[at][0]].isupper()
-                                counts[2] += article
-            rows = [(t, None, None, c, 0, 0) for t, c in n.items()] + [(*k, *c) for k, c in beside.items()]
+                if next(found_here.iter(low), None) is None:
+                    continue
+                tokens = [(m.start(), m.end(), m.group()) for m in WORD.finditer(low)]
+                for i in range(len(tokens) - 1):
+                    j = i + 2 if len(tokens[i + 1][2]) == 1 and i + 2 < len(tokens) else i + 1
+                    (start, end, a), (next_start, _, b) = tokens[i], tokens[j]
+                    if b not in new_family and a not in new_given:
+                        continue
+                    article = i > 0 and tokens[i - 1][2] in _ARTICLES and text[tokens[i - 1][1] : start].isspace()
+                    gap = (b in family or a in given) and _is_gap(text[end:next_start])
+                    for key, at, there in (((a, "as_given", b), start, b in new_family), ((b, "as_family", a), next_start, a in new_given)):
+                        if there:
+                            counts = beside.setdefault(key, [0, 0, 0])
+                            counts[0] += 1
+                            counts[1] += gap and text[at].isupper()
+                            counts[2] += article
+            rows = [(*k, *c) for k, c in beside.items()]
             kinds = [pa.string()] * 3 + [pa.int64()] * 3
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, ["term", "role", "partner", "n", "named", "article"])
@@ -238,13 +257,22 @@ def _count_terms(given: set[str], family: set[str]):
     return run
 
 
+def _any_of(terms: set[str]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for term in terms:
+        automaton.add_word(term, True)
+    automaton.make_automaton()
+    return automaton
+
+
 class Sanitiser:
     """Finds and replaces personal information in texts (source, id, field, text).
 
     labels (source, id, field, kind, mention) is a hand-labelled sample; at most label_rows of its names, drawn
     by a hash, give the first protected terms. Further ones are found by co-occurrence over all texts, in passes
     until one finds none (or `rounds` passes, if given). A product named after a person also stands beside a
-    protected term, but beside one only: a term of less than least_partners different ones is accepted by the
+    protected term, but beside one only (each pass counts the neighbours of newly protected terms only, in the texts
+    that hold one, and adds them to what is known): a term of less than least_partners different ones is accepted by the
     pair it is in, if most of its places there are written like a name and at most `articles` of them follow an
     article, which names in a corpus hardly ever do. Null and empty
     texts hold no mention; extra columns are ignored; without labels no names are found, the other kinds are.
@@ -257,39 +285,33 @@ class Sanitiser:
         named = labels.where("kind = 'name' and mention is not null").select("mention").distinct()
         sample = named.orderBy(F.xxhash64("mention"), "mention").limit(label_rows).collect()
         split = [split_name(r["mention"]) for r in sample]
-        given, family = {g for g, _ in split if g}, {f for _, f in split if f}
+        given, family = set(), set()
+        new = {g for g, _ in split if g}, {f for _, f in split if f}
+        beside = None
         for done in count():
-            if not given or not family or done == rounds:
-                break
-            known = len(given) + len(family)
-            counts = (
-                self.texts.select("text")
-                .mapInArrow(_count_terms(given, family), "term string, role string, partner string, n long, named long, article long")
-                .groupBy("term", "role", "partner")
-                .agg(*(F.sum(c).alias(c) for c in ("n", "named", "article")))
-            )
-            beside = lambda role: F.col("role").eqNullSafe(role)
-            counts = cut(
-                counts.groupBy("term").agg(
-                    F.sum(F.when(F.col("role").isNull(), F.col("n"))).alias("n"),
-                    *(F.sum(F.when(beside(r), F.col("n"))).alias(r) for r in ("as_given", "as_family")),
-                    *(F.count_if(beside(r)).alias(f"{r}_partners") for r in ("as_given", "as_family")),
-                    *(F.sum(F.when(beside(r), F.col(c))).alias(f"{r}_{c}") for r in ("as_given", "as_family") for c in ("named", "article")),
-                ),
-                "terms",
-            )
-            total = counts.agg(*(F.sum(c).alias(c) for c in ("n", "as_given", "as_family"))).first()
-            for role, terms in (("as_given", given), ("as_family", family)):
-                if total[role]:
-                    least = math.exp(-(1 - share) * math.log(total["n"] / total[role]))  # PMI >= share * IC, as p(c | t)
-                    like_name = (2 * F.col(f"{role}_named") > F.col(role)) & (F.col(f"{role}_article") <= articles * F.col(role))
-                    new = counts.where(((F.col(f"{role}_partners") >= least_partners) | like_name) & (F.col(role) >= least * F.col("n")) & (F.length("term") > 1))
-                    found = new.select("term").limit(most_terms + 1).collect()
-                    if len(found) > most_terms:
-                        raise ValueError(f"more than {most_terms} disclosing terms")
-                    terms |= {r["term"] for r in found}
-            if len(given) + len(family) == known:
+            given, family = given | new[0], family | new[1]
+            if not given or not family or not (new[0] or new[1]) or done == rounds:
                 break
+            if beside is None:
+                terms = cut(self.texts.select("text").mapInArrow(_term_counts, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")), "terms")
+                n_words = terms.agg(F.sum("n")).first()[0]
+            known = self.spark.sparkContext.broadcast((given, family, *new, _any_of(new[0] | new[1])))
+            fresh = self.texts.select("text").mapInArrow(_count_beside(known), "term string, role string, partner string, n long, named long, article long")
+            fresh = cut(fresh.groupBy("term", "role", "partner").agg(*(F.sum(c).alias(c) for c in ("n", "named", "article"))), "beside")
+            beside = fresh if beside is None else beside.unionByName(fresh)
+            per_term = beside.groupBy("term", "role").agg(F.count("*").alias("partners"), *(F.sum(c).alias(c) for c in ("n", "named", "article")))
+            total = {r["role"]: r["n"] for r in per_term.groupBy("role").agg(F.sum("n").alias("n")).collect()}
+            # PMI >= share * IC, as p(c | t) >= p(c) ** (1 - share)
+            least = F.lit(None).cast("double")
+            for role, n in total.items():
+                least = F.when(F.col("role") == role, math.exp(-(1 - share) * math.log(n_words / n))).otherwise(least)
+            like_name = (2 * F.col("named") > F.col("n")) & (F.col("article") <= articles * F.col("n"))
+            counted = per_term.join(terms.withColumnRenamed("n", "n_term"), "term")
+            disclosing = counted.where(((F.col("partners") >= least_partners) | like_name) & (F.col("n") >= least * F.col("n_term")) & (F.length("term") > 1))
+            found = disclosing.select("term", "role").limit(2 * most_terms + 1).collect()
+            if len(found) > 2 * most_terms:
+                raise ValueError(f"more than {most_terms} disclosing terms")
+            new = {r["term"] for r in found if r["role"] == "as_given"} - given, {r["term"] for r in found if r["role"] == "as_family"} - family
         self.given, self.family = given, family
 
     def _spans(self):

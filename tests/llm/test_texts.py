@@ -64,7 +64,7 @@ def found(spark, docs, items, **options):
     return leakage.leaked_spans(texts(spark, docs), frame, **options)
 
 
-@pytest.mark.parametrize("options", [{}, {"most_items": 2}, {"most_chars": 60}])
+@pytest.mark.parametrize("options", [{}, {"most_grams": 0}, {"most_broadcast_mb": -1}])
 def test_leaks(spark, options):
     got = {(r["item_id"], r["doc_id"]) for r in found(spark, DOCS, ITEMS, **options).collect()}
     assert got == {(1, 0), (5, 0), (6, 5), (1, 6)}
@@ -162,6 +162,7 @@ PII = {
     "Plaza del Molino Blanco 30, 3º D, 00627 Puerto": ["address"], "P.O. Box 1333, Port Ellary VT 00090": ["address"],
     "see the Street View layer; Section 12, Main Road test data set": [], "Dr. A. Marbell met MARBELL Zoë, Velmark, Peter and peter k. ostrand": ["name"] * 4,
     "Thanks to Anna; the Peter Protocol; Marbell alone": [], "": [], "anna\nmarbell": ["name"],
+    "write to " + "very.long_" * 40 + "x@mail.example.org": ["email"], "a%b%c@mail.example.org": ["email"],
 }
 
 
