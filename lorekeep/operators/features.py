@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,22 +17,16 @@ def norm_type(c: Column) -> Column:
     return F.nullif(F.translate(F.lower(F.btrim(c, F.lit(BLANKS))), "-", "_"), F.lit(""))
 
 
-def heavy_groups(rows: DataFrame, keys: list[list[str]], least_share: float, tracked: int = 10_000) -> list[list[tuple[str, ...]]]:
-    """For each list of columns, the groups that hold at least least_share of all rows (at most 1 / least_share).
+def heavy_groups(rows: DataFrame, keys: list[str], n_rows: int, target_rows: int, sample_rows: int = 200_000, least_seen: int = 16) -> DataFrame:
+    """(*keys, n): the groups that seem to hold more than target_rows rows, with how many.
 
-    Frequent-items sketches find them in one pass without a shuffle of the rows. They may miss a group near the
-    limit but name only groups that exist; they steer where rows go, and no result depends on them.
+    They are counted in a sample of about sample_rows rows and scaled up. A group must be seen least_seen times, so
+    at most sample_rows / least_seen come out. They steer where rows go, and no result depends on them.
     """
-    most = min(1000, max(1, int(1 / least_share)))
-    joined = rows.select(*(F.concat_ws("\x1f", *columns).alias(f"k{i}") for i, columns in enumerate(keys)))
-    sketches = [F.expr(f"approx_top_k(k{i}, {most}, {tracked})").alias(f"k{i}") for i in range(len(keys))]
-    row = joined.agg(F.count("*").alias("n"), *sketches).first()
-    heavy = [[x["item"].split("\x1f") for x in row[f"k{i}"] or [] if x["count"] >= least_share * row["n"]] for i in range(len(keys))]
-    return [[tuple(x) for x in items if len(x) == len(columns)] for items, columns in zip(heavy, keys, strict=True)]
-
-
-def _is_one_of(columns: list[str], groups: list[tuple[str, ...]]) -> Column:
-    return F.concat_ws("\x1f", *columns).isin(["\x1f".join(g) for g in groups]) if groups else F.lit(False)
+    share = min(1.0, sample_rows / max(1, n_rows))
+    drawn = rows if share == 1.0 else rows.sample(share, seed=1)
+    seen = drawn.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= max(least_seen * min(1, n_rows // sample_rows), share * target_rows))
+    return seen.select(*keys, F.ceil(F.col("n") / share).alias("n"))
 
 
 def type_cells(
@@ -40,8 +36,8 @@ def type_cells(
     at: str,
     as_of_micros: int,
     window_micros: int,
-    salts: int = 32,
-    heavy_share: float = 0.002,
+    target_rows: int = 2_000_000,
+    sample_rows: int = 200_000,
 ) -> DataFrame:
     """The filled cells of the feature table: (entity, event_type, n_window, n_total, last_at).
 
@@ -49,34 +45,41 @@ def type_cells(
     counts [as_of - window, as_of), n_total everything before as_of, last_at is the last instant (microseconds).
     Rows with a null or blank entity or type, or an unreadable time, are left out; an empty log gives no rows.
 
-    Two stages: groups with over heavy_share of the rows are spread over `salts` by their instant, the same
-    instant always under the same salt, so duplicates meet; each (entity, type, salt) is reduced to partial
-    statistics behind one exchange, and a second, small one merges them (without heavy groups the first is enough).
-    One access repeated over heavy_share of the rows is taken out before the exchange and put back as the single
-    row it counts as.
+    Two stages: a group of more than target_rows rows gets as many salts as bring each below that, chosen by the
+    instant, so that duplicates meet under one salt; each (entity, type, salt) is reduced to partial statistics
+    behind one exchange, and a second, small one merges them (without heavy groups the first is enough). One access
+    repeated over more than target_rows rows is taken out before the exchange and put back as the single row it
+    counts as. Both kinds are looked for in a sample of bounded size, so the log itself is read once.
     """
+    spark = events.sparkSession
     named = events.select(
         norm_id(F.col(entity)).alias("entity"), norm_type(F.col(event_type)).alias("event_type"), F.col(at).alias("time")
     ).where("entity is not null and event_type is not null and time is not null")
     group, access = ["entity", "event_type"], ["entity", "event_type", "time"]
-    heavy, repeated = heavy_groups(named, [group, access], heavy_share)
-    if repeated:
-        once_each = events.sparkSession.createDataFrame(repeated, "entity string, event_type string, time string")
-        named = named.where(~_is_one_of(access, repeated)).unionByName(once_each)
+    n_rows = events.count()
+    repeated, heavy = [], []
+    if n_rows > target_rows:
+        repeated = heavy_groups(named, access, n_rows, target_rows, sample_rows).select(*access).collect()
+        if repeated:
+            once_each = spark.createDataFrame(repeated, "entity string, event_type string, time string")
+            named = named.join(F.broadcast(once_each), access, "left_anti").unionByName(once_each)
+        heavy = heavy_groups(named, group, n_rows, target_rows, sample_rows).collect()
     rows = named.select(*group, instant_micros(F.col("time")).alias("at")).where(F.col("at") < as_of_micros)
     keys = group
     if heavy:
-        spread = F.pmod(F.xxhash64("at"), F.lit(salts)).cast("int")
-        rows, keys = rows.withColumn("salt", F.when(_is_one_of(group, heavy), spread).otherwise(F.lit(0))), [*group, "salt"]
+        salts = [(r["entity"], r["event_type"], -(-r["n"] // target_rows)) for r in heavy]
+        spread = F.broadcast(spark.createDataFrame(salts, "entity string, event_type string, salts long"))
+        salt = F.coalesce(F.pmod(F.xxhash64("at"), F.col("salts")), F.lit(0)).alias("salt")
+        rows, keys = rows.join(spread, group, "left").select(*group, "at", salt), [*group, "salt"]
     once = rows.repartition(*keys).dropDuplicates([*keys, "at"])
     partial = once.groupBy(*keys).agg(
         F.count_if(F.col("at") >= as_of_micros - window_micros).alias("n_window"),
         F.count("*").alias("n_total"),
         F.max("at").alias("last_at"),
     )
-    return partial.groupBy("entity", "event_type").agg(
-        F.sum("n_window").alias("n_window"), F.sum("n_total").alias("n_total"), F.max("last_at").alias("last_at")
-    )
+    if not heavy:
+        return partial
+    return partial.groupBy(*group).agg(F.sum("n_window").alias("n_window"), F.sum("n_total").alias("n_total"), F.max("last_at").alias("last_at"))
 
 
 def feature_table(
@@ -98,19 +101,19 @@ def feature_table(
     found = [r[0] for r in cells.select("event_type").distinct().limit(most_types + 1).collect()]
     if len(found) > most_types:
         raise ValueError(f"more than {most_types} event types")
-    types = F.array(*[F.lit(t) for t in sorted(found)]).cast("array<string>")
-    per = cells.groupBy("entity").agg(
-        F.map_from_entries(
-            F.collect_list(F.struct("event_type", F.struct("n_window", "n_total", "last_at")))
-        ).alias("cells")
-    )
-    cell = lambda t, f: F.try_element_at(F.col("cells"), t)[f]
-    return per.select(
+    types = sorted(found)
+    numbers = cells.sparkSession.createDataFrame(list(enumerate(types)), "at int, event_type string")
+    cell = F.struct("at", "n_window", "n_total", "last_at")
+    per = cells.join(F.broadcast(numbers), "event_type").groupBy("entity").agg(F.sort_array(F.collect_list(cell)).alias("cells"))
+    # Between two filled cells stand as many empty ones as their places are apart.
+    empty = F.struct(F.lit(-1).alias("at"), F.lit(0).cast("long").alias("n_window"), F.lit(0).cast("long").alias("n_total"), F.lit(None).cast("long").alias("last_at"))
+    before = lambda i: F.coalesce(F.get(F.col("cells"), i - 1)["at"], F.lit(-1))
+    filled = F.flatten(F.transform("cells", lambda c, i: F.concat(F.array_repeat(empty, c["at"] - before(i) - 1), F.array(c))))
+    rest = F.array_repeat(empty, F.lit(len(types) - 1) - F.element_at("cells", -1)["at"])
+    return per.select("entity", F.concat(filled, rest).alias("cells")).select(
         "entity",
-        types.alias("event_types"),
-        F.transform(types, lambda t: F.coalesce(cell(t, "n_window"), F.lit(0))).alias("n_window"),
-        F.transform(types, lambda t: F.coalesce(cell(t, "n_total"), F.lit(0))).alias("n_total"),
-        F.transform(types, lambda t: F.floor((F.lit(as_of_micros) - cell(t, "last_at")) / F.lit(1_000_000))).alias(
-            "seconds_since_last"
-        ),
+        F.from_json(F.lit(json.dumps(types)), "array<string>").alias("event_types"),
+        F.col("cells.n_window").alias("n_window"),
+        F.col("cells.n_total").alias("n_total"),
+        F.transform("cells.last_at", lambda t: F.floor((F.lit(as_of_micros) - t) / F.lit(1_000_000))).alias("seconds_since_last"),
     )

@@ -14,8 +14,8 @@ def plan(frame):
 
 
 def test_feature_cells_take_two_exchanges_and_three_columns(spark, folder):
-    for share, exchanges in ((0.001, 2), (2.0, 1)):
-        cells = features.type_cells(table(spark, folder, "access_log"), "entry_id", "access_type", "accessed_at", 10**15, 10**12, heavy_share=share)
+    for target, exchanges in ((5, 2), (10_000_000, 1)):
+        cells = features.type_cells(table(spark, folder, "access_log"), "entry_id", "access_type", "accessed_at", 10**15, 10**12, target_rows=target)
         text = plan(cells)
         assert len(re.findall(r"Exchange hashpartitioning", text)) == exchanges
         assert "ingested_at" not in text and "Python" not in text

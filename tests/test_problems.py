@@ -57,8 +57,8 @@ def test_too_many_types_is_an_error(spark):
         table(log(spark, [("a", f"t{i}", "1") for i in range(5)]), most_types=4)
 
 
-@pytest.mark.parametrize("heavy_share", [0.0001, 0.2, 2.0])
-def test_skewed_groups_against_counting(spark, heavy_share):
+@pytest.mark.parametrize("options", [{"target_rows": 5}, {"target_rows": 500, "sample_rows": 2000}, {}])
+def test_skewed_groups_against_counting(spark, options):
     rng = random.Random(3)
     rows = [("hot", "get", str(rng.randrange(900_000, 1_000_100))) for _ in range(3000)]
     rows += [(f"e{rng.randrange(40)}", f"t{rng.randrange(5)}", str(rng.randrange(900_000, 1_000_100))) for _ in range(3000)]
@@ -68,19 +68,34 @@ def test_skewed_groups_against_counting(spark, heavy_share):
         if int(at) < 1_000_000:
             seen[e, t].add(int(at))
     want = {k: (sum(x >= 913_600 for x in v), len(v), max(v) * 10**6) for k, v in seen.items()}
-    assert cells(log(spark, rows), heavy_share=heavy_share) == want
+    assert cells(log(spark, rows), **options) == want
 
 
 def test_heavy_groups(spark):
     rows = spark.createDataFrame([("a", "x")] * 60 + [(f"b{i}", "y") for i in range(40)], "e string, t string")
-    assert features.heavy_groups(rows, [["e", "t"], ["t"]], 0.3) == [[("a", "x")], [("x",), ("y",)]]
-    assert features.heavy_groups(rows.limit(0), [["e", "t"]], 0.3) == [[]]
+    assert [tuple(r) for r in features.heavy_groups(rows, ["e", "t"], 100, 30).collect()] == [("a", "x", 60)]
+    assert {tuple(r) for r in features.heavy_groups(rows, ["t"], 100, 30).collect()} == {("x", 60), ("y", 40)}
+    assert features.heavy_groups(rows.limit(0), ["e", "t"], 0, 30).count() == 0
+
+
+def test_a_group_of_nine_tenths_of_the_log_is_spread(spark):
+    """No task gets more rows of one group than the target, give or take what a hash spreads unevenly."""
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("e"), "id")).alias("entry_id"), F.lit("get").alias("access_type"), F.col("id").cast("string").alias("accessed_at")
+    )
+    frame = features.type_cells(rows, "entry_id", "access_type", "accessed_at", AS_OF, DAY, target_rows=2000, sample_rows=4000)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "salt" in plan and frame.where("entity = 'hot'").first()["n_total"] == 36_000
+    salts = int(-(-features.heavy_groups(rows, ["entry_id"], 40_000, 2000, 4000).first()["n"] // 2000))
+    largest = rows.where("entry_id = 'hot'").groupBy(F.pmod(F.xxhash64(F.col("accessed_at").cast("long") * 1_000_000), F.lit(salts))).count().agg(F.max("count")).first()[0]
+    assert 16 <= salts <= 20 and largest < 2600
 
 
 def test_one_access_repeated_over_a_third_of_the_log(spark):
     rows = [("hot", "get", "999999")] * 1000 + [("hot ", "GET", "999999")] * 3 + [(f"e{i}", "get", str(i)) for i in range(2000)]
-    got = cells(log(spark, rows))
-    assert got["hot", "get"] == (1, 1, 999999 * 10**6) and len(got) == 2001
+    for options in ({}, {"target_rows": 100, "sample_rows": 500}):
+        got = cells(log(spark, rows), **options)
+        assert got["hot", "get"] == (1, 1, 999999 * 10**6) and len(got) == 2001
 
 
 REFS = "source string, space string, key string, period string, n_references int, shard int, words string, maybe string"
