@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import id8, title_words
+from lorekeep.session import cut
 
 LEAST_OVERLAP = 0.5
 SEPARATOR = "\n\n--- Updated %s ---\n"
@@ -26,29 +26,35 @@ def title_classes(docs: DataFrame) -> DataFrame:
 
 
 def similar_titles(docs: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
-    """(category, class_a, class_b, overlap) of classes whose shared words are at least `least` of the smaller set.
+    """(category, class_a, class_b, overlap) of classes whose shared words are at least `least` of the smaller set."""
+    return similar_classes(title_classes(docs), least)
+
+
+def similar_classes(classes: DataFrame, least: float = LEAST_OVERLAP, among: Column | None = None) -> DataFrame:
+    """similar_titles of classes (category, class_id, words); with `among`, a condition on classes, at least one of
+    the two must fulfil it.
 
     Prefix filter: of its n words, from rare to frequent, the smaller set must share one among the first
     n - ceil(least * n) + 1, or it misses too many. Only those are joined with the words of larger sets, so a word
     that is in most titles hardly ever makes candidates.
     """
-    classes = title_classes(docs)
-    words = classes.select("category", "class_id", F.size("words").alias("size"), F.explode("words").alias("word"))
+    classes = classes.select("category", "class_id", "words", (F.lit(True) if among is None else among).alias("asked"))
+    words = classes.select("category", "class_id", "asked", F.size("words").alias("size"), F.explode("words").alias("word"))
     counts = words.groupBy("category", "word").agg(F.count("*").alias("uses"))
     ranked = words.join(counts, ["category", "word"]).withColumn(
         "place", F.row_number().over(W.partitionBy("category", "class_id").orderBy("uses", "word"))
     )
     few = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
-    small = few.select("category", "word", F.col("class_id").alias("small"), F.col("size").alias("small_size"))
-    large = words.select("category", "word", F.col("class_id").alias("large"), F.col("size").alias("large_size"))
+    side = lambda df, name: df.select("category", "word", F.col("class_id").alias(name), F.col("size").alias(f"{name}_size"), F.col("asked").alias(f"{name}_asked"))
     candidates = (
-        small.join(large, ["category", "word"])
+        side(few, "small").join(side(words, "large"), ["category", "word"])
         .where((F.col("small_size") < F.col("large_size")) | (F.col("small_size") == F.col("large_size")) & (F.col("small") != F.col("large")))
+        .where(F.col("small_asked") | F.col("large_asked"))
         .select("category", F.least("small", "large").alias("class_a"), F.greatest("small", "large").alias("class_b"))
         .distinct()
     )
-    side = lambda x: classes.select(F.col("category"), F.col("class_id").alias(f"class_{x}"), F.col("words").alias(f"words_{x}"))
-    pairs = candidates.join(side("a"), ["category", "class_a"]).join(side("b"), ["category", "class_b"])
+    named = lambda x: classes.select(F.col("category"), F.col("class_id").alias(f"class_{x}"), F.col("words").alias(f"words_{x}"))
+    pairs = candidates.join(named("a"), ["category", "class_a"]).join(named("b"), ["category", "class_b"])
     shared = F.size(F.array_intersect("words_a", "words_b"))
     overlap = shared / F.least(F.size("words_a"), F.size("words_b"))
     return pairs.select("category", "class_a", "class_b", overlap.alias("overlap")).where(F.col("overlap") >= least)
@@ -124,20 +130,41 @@ def merge_problems(rows: DataFrame, key: str = "key") -> DataFrame:
 
 
 def merge_sections(rows: DataFrame, key: str = "key") -> DataFrame:
-    """(key, name, content) of (key, seq, name, content): sections by name without regard to case; the first
-    spelling stays and differing contents follow one another."""
+    """(key, name, content) of (key, seq, name, content, updated): sections by name without regard to case; the first
+    spelling stays and differing contents follow one another, each after a line that dates it."""
     named = rows.withColumn("low", F.lower("name"))
-    once = named.groupBy(key, "low", "content").agg(F.min(F.struct("seq", "name")).alias("at"))
-    return once.groupBy(key, "low").agg(
-        F.min("at").getField("name").alias("name"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "content"))), lambda x: x["content"]), "\n\n").alias("content"),
-    ).drop("low")
+    once = named.groupBy(key, "low", "content").agg(F.min(F.struct("seq", "name", "updated")).alias("at"))
+    texts = F.sort_array(F.collect_list(F.struct("at", "content")))
+    dated = F.transform(texts, lambda x, i: F.when(i == 0, x["content"]).otherwise(F.concat(F.format_string(SEPARATOR, x["at"]["updated"]), x["content"])))
+    return once.groupBy(key, "low").agg(F.min("at").getField("name").alias("name"), F.array_join(dated, "").alias("content")).drop("low")
+
+
+def updated_at(created: Column, date: Column) -> Column:
+    """The minute that a separator names."""
+    return F.coalesce(F.date_format(created, "yyyy-MM-dd HH:mm"), date, F.lit("unknown"))
 
 
-def session_key(session_id: Column, date: Column, project: Column, branch: Column) -> Column:
-    """What makes two reports one session: the session id, or else date, project and branch."""
-    blank = F.coalesce(F.trim(session_id), F.lit("")) == ""
-    return F.when(blank, F.concat_ws("\x1f", F.lit("day"), date, project, branch)).otherwise(F.concat(F.lit("id\x1f"), session_id))
+def _is_blank(c: Column) -> Column:
+    return F.coalesce(F.trim(c), F.lit("")) == ""
+
+
+def session_targets(sessions: DataFrame) -> DataFrame:
+    """(id, key): which session each report belongs to. Ids are unique; of a column `stored`, if there is one, the rows
+    that are true stand in the store already and come first.
+
+    Reports with one session id are one session, as are reports without id of one date, project and branch. A report
+    whose session id is new while a session without id of its date, project and branch exists joins that one, as do
+    those after it until one finds none; from then on its id has a session of its own.
+    """
+    stored = F.col("stored") if "stored" in sessions.columns else F.lit(False)
+    day = F.concat_ws("\x1f", F.lit("day"), *(F.coalesce(F.col(c), F.lit("")) for c in ("date", "project", "branch")))
+    rows = sessions.select("id", day.alias("day"), "session_id", _is_blank(F.col("session_id")).alias("blank"), stored.alias("stored"), F.struct((~stored).alias("new"), "created", "id").alias("seq"))
+    legacy = rows.where("blank").groupBy("day").agg(F.min("seq").alias("legacy"))
+    known = rows.join(legacy, "day", "left").withColumn("joins", ~F.col("stored") & F.coalesce(F.col("legacy") < F.col("seq"), F.lit(False)))
+    own = known.where("not blank").groupBy("session_id").agg(F.min(F.when(~F.col("joins"), F.col("seq"))).alias("own"))
+    placed = known.join(own, "session_id", "left")
+    apart = ~F.col("blank") & F.coalesce(F.col("seq") >= F.col("own"), F.lit(False))
+    return placed.select("id", F.when(apart, F.concat(F.lit("id\x1f"), "session_id")).otherwise(F.col("day")).alias("key"))
 
 
 def _merged_list(keyed: DataFrame, name: str) -> DataFrame:
@@ -147,8 +174,8 @@ def _merged_list(keyed: DataFrame, name: str) -> DataFrame:
         "related_notes": (merge_related, id8(F.col("id"))), "extra_sections": (merge_sections, F.lower("name")),
     }[name]
     fields = keyed.schema[name].dataType.elementType.names
-    rows = keyed.select("key", F.struct("created", "id").alias("s"), F.posexplode(name).alias("at", "c")).where("c is not null")
-    rows = rows.select("key", F.struct("s.created", "s.id", "at").alias("seq"), "c.*")
+    rows = keyed.select("key", F.struct("new", "created", "id").alias("s"), "updated", F.posexplode(name).alias("at", "c")).where("c is not null")
+    rows = rows.select("key", F.struct("s.new", "s.created", "s.id", "at").alias("seq"), "updated", "c.*")
     places = rows.groupBy("key", by.alias("by")).agg(F.min("seq").alias("place")).withColumnRenamed("key", "k")
     merged = merge(rows).withColumn("_by", by)
     placed = merged.join(places, (F.col("key") == F.col("k")) & F.col("_by").eqNullSafe(F.col("by")))
@@ -156,67 +183,123 @@ def _merged_list(keyed: DataFrame, name: str) -> DataFrame:
     return placed.groupBy("key").agg(F.transform(items, lambda x: x["c"]).alias(name))
 
 
+SESSION_LISTS = ("changes", "problems", "related_notes", "extra_sections")
+
+
 def merge_sessions(sessions: DataFrame) -> DataFrame:
-    """One row per session_key: the id of the oldest report, the title of the newest, tags with the newest first,
-    texts one after another by created, lists united in order; changes, problems, related notes and extra sections,
-    if the table has them, are merged by path, problem, id and name. A key's reports are merged by ordered lists, so
-    nothing but the reports of one session ever meets in a row."""
-    keyed = sessions.withColumn("key", session_key(F.col("session_id"), F.col("date"), F.col("project"), F.col("branch")))
-    order = F.struct("created", "id", "title", "tags", "summary", "what_happened", "decisions", "insights", "questions", "next_steps")
+    """One row per session (session_targets), in the columns of sessions, with key, updated and n_reports.
+
+    The first report, by created, gives id, type, date, branch, project, session_id and created, the last one updated
+    and, unless it is empty, the title; tags unite with the newest first. Texts follow one another, each after a line
+    that dates it; decisions, insights, questions and next steps unite in order; changes, problems, related notes and
+    extra sections, where the table has them, are merged by path, problem, id and name. A key's reports are merged by
+    ordered lists, so nothing but the reports of one session ever meets in a row. Nulls count as empty.
+    """
+    stored = F.col("stored") if "stored" in sessions.columns else F.lit(False)
+    keyed = sessions.withColumns({"new": ~stored, "updated": updated_at(F.col("created"), F.col("date"))}).join(session_targets(sessions), "id")
+    keyed = cut(keyed, "reports")
+    first = [c for c in ("type", "date", "branch", "project", "session_id") if c in sessions.columns]
+    order = F.struct("new", "created", "id", "updated", *first, "title", "tags", "summary", "what_happened", "decisions", "insights", "questions", "next_steps")
     grouped = keyed.groupBy("key").agg(F.sort_array(F.collect_list(order)).alias("r"), F.count("*").alias("n_reports"))
-    texts = lambda name: F.array_join(F.filter(F.transform("r", lambda x: F.coalesce(x[name], F.lit(""))), lambda t: t != ""), "\n\n")
+
+    def texts(name: str) -> Column:
+        def add(text: Column, x: Column) -> Column:
+            more = F.coalesce(x[name], F.lit(""))
+            return F.when(more == "", text).when(text == "", more).otherwise(F.concat(text, F.format_string(SEPARATOR, x["updated"]), more))
+
+        return F.aggregate("r", F.lit(""), add)
+
     union = lambda name: F.array_distinct(F.flatten(F.transform("r", lambda x: F.coalesce(x[name], F.array()))))
     newest_tags = F.flatten(F.transform(F.reverse("r"), lambda x: F.coalesce(x["tags"], F.array())))
+    titled = F.filter("r", lambda x: ~_is_blank(x["title"]))
     merged = grouped.select(
-        "key", F.col("r")[0]["id"].alias("id"), F.element_at("r", -1)["title"].alias("title"), "n_reports",
+        "key", F.col("r")[0]["id"].alias("id"), *(F.col("r")[0][c].alias(c) for c in first),
+        F.when(F.size(titled) > 0, F.element_at(titled, -1)["title"]).alias("title"), "n_reports",
+        F.col("r")[0]["created"].alias("created"), F.array_max(F.transform("r", lambda x: x["created"])).alias("updated"),
         tag_union(newest_tags, F.array().cast("array<string>")).alias("tags"),
         texts("summary").alias("summary"), texts("what_happened").alias("what_happened"),
         *(union(c).alias(c) for c in ("decisions", "insights", "questions", "next_steps")),
     )
-    for name in ("changes", "problems", "related_notes", "extra_sections"):
+    for name in SESSION_LISTS:
         if name in sessions.columns:
             merged = merged.join(_merged_list(keyed, name), "key", "left").withColumn(name, F.coalesce(name, F.array()))
     return merged
 
 
-def fold_notes(notes: DataFrame) -> DataFrame:
-    """(id, into, how): what adding the notes of each category one after another, by created and id, does with
-    each: 'created', 'merged' into a note of the same title, or 'merged' into the best earlier note whose title
-    words overlap by at least half.
+def fold_notes(notes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(id, into, how): what adding notes one after another, by created and id, does with each: 'created', 'merged'
+    into a note of the same category and title, or 'merged' into the note of its category whose title words overlap
+    most, by at least half, the earliest of equals. Notes in `stored` are there from the start. A null title is one
+    without words; ids are unique.
 
-    The rule looks at earlier survivors only, so it is a fold over a category in order. A category of many rows
-    is first reduced to its title classes: rows of one class after the first always merge, and only the classes'
-    first rows, without their texts, take part in the fold.
+    Nothing is folded row by row: titles with one set of words are a class, similar classes are linked, and whether
+    a class's first title stands for itself depends on earlier linked ones only. So all whose earlier neighbours are
+    decided are decided at once, round by round, each a few joins of class ids.
     """
-    rows = notes.select("id", "category", "title", "created", F.sort_array(title_words(F.col("title"))).alias("words"))
-    same = W.partitionBy("category", "title").orderBy("created", "id")
-    placed = rows.withColumn("first", F.first("id").over(same))
-    firsts = placed.where("id = first").drop("first")
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        by_word: dict[str, list[int]] = {}
-        kept: list[tuple[str, int]] = []
-        into = []
-        for row in group.sort_values(["created", "id"]).itertuples():
-            words, best, target = set(row.words), 0.0, None
-            if len(words) >= 2:
-                shared: dict[int, int] = {}
-                for w in words:
-                    for k in by_word.get(w, ()):
-                        shared[k] = shared.get(k, 0) + 1
-                for k in sorted(shared):
-                    overlap = shared[k] / min(len(words), kept[k][1])
-                    if overlap >= LEAST_OVERLAP and overlap > best:
-                        best, target = overlap, kept[k][0]
-            into.append((row.id, target or row.id))
-            if target is None:
-                if len(words) >= 2:
-                    for w in words:
-                        by_word.setdefault(w, []).append(len(kept))
-                kept.append((row.id, len(words)))
-        return pd.DataFrame(into, columns=["first", "into"])
-
-    folded = firsts.groupBy("category").applyInPandas(fold, "first string, into string")
+    select = lambda df, new: df.select("id", "category", "title", F.struct(F.lit(new).alias("new"), "created", "id").alias("seq"))
+    rows = select(notes, True) if stored is None else select(stored, False).unionByName(select(notes, True))
+    rows = rows.withColumn("words", F.sort_array(title_words(F.col("title"))))
+    rows = rows.withColumn("plain", F.when(F.size("words") < 2, F.coalesce("title", F.lit(""))))
+    group = ["category", "words", "plain"]
+    firsts = rows.groupBy(*group).agg(F.min(F.struct("seq", "title")).alias("first"), F.max("seq.new").alias("asked"))
+    classes = cut(firsts.select(*group, F.col("first.seq.id").alias("class_id"), F.col("first.seq").alias("first"), F.col("first.title").alias("first_title"), "asked"), "classes")
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in group]
+    placed = cut(rows.alias("r").join(classes.alias("c"), same).where("r.seq.new").select("r.id", "r.seq", "r.title", "c.class_id", "c.first", "c.first_title", F.col("r.plain").isNotNull().alias("exact_only")), "placed")
+
+    linked = similar_classes(classes.where("plain is null"), LEAST_OVERLAP, F.col("asked"))
+    order = lambda x: classes.select(F.col("class_id").alias(f"class_{x}"), F.col("first").alias(f"first_{x}"))
+    both = linked.join(order("a"), "class_a").join(order("b"), "class_b")
+    end = lambda x: F.struct(F.col(f"first_{x}").alias("first"), F.col(f"class_{x}").alias("id"))
+    edges = both.select(F.least(end("a"), end("b")).alias("early"), F.greatest(end("a"), end("b")).alias("late"), "overlap")
+    edges = cut(edges.where("late.first.new").select(F.col("early.id").alias("early"), F.col("late.id").alias("late"), "overlap"), "edges")
+
+    open_edges = edges
+    undecided = cut(edges.select(F.explode(F.array("early", "late")).alias("c")).distinct(), "undecided")
+    standing = classes.where("not first.new").select(F.col("class_id").alias("c"))  # stored notes stand from the start
+    decided = cut(undecided.join(standing, "c", "left_semi"), "standing")
+    survivors = decided
+    while True:
+        gone = cut(open_edges.join(decided, F.col("early") == F.col("c"), "left_semi").select(F.col("late").alias("c")).distinct(), "gone")
+        undecided = cut(undecided.join(decided, "c", "left_anti").join(gone, "c", "left_anti"), "undecided")
+        if undecided.isEmpty():
+            break
+        is_open = lambda side: open_edges.join(undecided.withColumnRenamed("c", side), side, "left_semi")
+        open_edges = cut(is_open("early").join(undecided.withColumnRenamed("c", "late"), "late", "left_semi"), "open")
+        decided = cut(undecided.join(open_edges.select(F.col("late").alias("c")).distinct(), "c", "left_anti"), "standing")
+        survivors = survivors.unionByName(decided)
+
+    alone = classes.join(edges.select(F.explode(F.array("early", "late")).alias("class_id")).distinct(), "class_id", "left_anti").select("class_id")
+    standing = cut(survivors.select(F.col("c").alias("class_id")).unionByName(alone).distinct(), "survivors")
+    named = classes.join(standing, "class_id", "left_semi").select(F.col("class_id").alias("target"), F.col("first").alias("target_seq"))
+    links = edges.select(F.col("late").alias("class_id"), F.col("early").alias("target"), "overlap").unionByName(edges.select(F.col("early").alias("class_id"), F.col("late").alias("target"), "overlap"))
+    own = standing.select("class_id", F.col("class_id").alias("target"), F.lit(1.0).alias("overlap"))
+    choices = links.unionByName(own).join(named, "target")
+    kept = placed.join(standing.withColumn("stands", F.lit(True)), "class_id", "left")
+    to_first = F.coalesce("stands", F.lit(False)) & (F.col("exact_only") | F.col("title").eqNullSafe(F.col("first_title")) | (F.col("id") == F.col("class_id")))
+    simple = kept.where(to_first).select("id", F.col("class_id").alias("into"))
+    best = kept.where(~to_first).select("id", "seq", "class_id").join(choices, "class_id").where("target_seq < seq")
+    best = best.groupBy("id").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "target_seq", "target")).getField("target").alias("into"))
     how = F.when(F.col("id") == F.col("into"), "created").otherwise("merged")
-    return placed.select("id", "first").join(folded, "first").select("id", "into", how.alias("how"))
-
+    return simple.unionByName(best).select("id", "into", how.alias("how"))
+
+
+def merge_notes(notes: DataFrame, placed: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The notes that come of adding `notes`, placed by fold_notes: new ones and those of `stored` that others were
+    merged into. Contents that differ follow one another, each after a line that dates it, tags unite, later metadata
+    that is not empty wins, and updated is that of the last. Other columns are the first note's."""
+    own = ["title", "content", "tags", "category", "type", F.map_entries("metadata").alias("metadata")]  # maps have no order
+    order = F.struct("created", "id", "updated", *own)
+    grouped = notes.join(placed, "id").groupBy("into").agg(F.sort_array(F.collect_list(order)).alias("r")).withColumnRenamed("into", "id")
+    base = F.filter("r", lambda x: x["id"] == F.col("id"))[0]
+    if stored is not None:
+        old = F.struct("created", "id", "updated", *own).alias("old")
+        grouped = grouped.join(stored.select(F.col("id").alias("old_id"), old), F.col("id") == F.col("old_id"), "left").drop("old_id")
+        base = F.coalesce("old", base)
+    rest = F.filter("r", lambda x: x["id"] != F.col("id"))
+    content = F.aggregate(rest, F.coalesce(base["content"], F.lit("")), lambda text, x: content_union(text, x["content"], updated_at(x["updated"], F.lit(None).cast("string"))))
+    tags = F.flatten(F.concat(F.array(F.coalesce(base["tags"], F.array())), F.transform(rest, lambda x: F.coalesce(x["tags"], F.array()))))
+    none = F.create_map().cast("map<string,string>")
+    metadata = F.aggregate(rest, F.coalesce(F.map_from_entries(base["metadata"]), none), lambda m, x: metadata_union(m, F.map_from_entries(x["metadata"])))
+    updated = F.when(F.size(rest) > 0, F.element_at(rest, -1)["updated"]).otherwise(base["updated"])
+    empty = F.array().cast("array<string>")
+    return grouped.select("id", base["type"].alias("type"), base["category"].alias("category"), base["title"].alias("title"), content.alias("content"), tag_union(tags, empty).alias("tags"), base["created"].alias("created"), updated.alias("updated"), metadata.alias("metadata"))

@@ -43,24 +43,43 @@ def unindexed(docs: DataFrame, entries: DataFrame) -> DataFrame:
     return docs.select(norm_id(F.col("id")).alias("id"), "type").distinct().join(ids, "id", "left_anti")
 
 
-def health(entries: DataFrame, files: DataFrame, docs: DataFrame, vectors: DataFrame, backend: str, model: str) -> DataFrame:
+def side_by_side(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row with the number of rows of each part. Each is a distributed count; only single rows are put together."""
+    rows = None
+    for name, df in parts.items():
+        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy().pivot("name", list(parts)).agg(F.first("n"))
+
+
+def health(
+    entries: DataFrame, files: DataFrame, docs: DataFrame, vectors: DataFrame, backend: str, model: str,
+    indexed: DataFrame | None = None, recorded: str | None = None,
+) -> DataFrame:
     """One row: counts of files, entries, documents and active vectors, of what is amiss, and whether all is well.
-    Each count is a distributed aggregate; only single rows are put side by side."""
+
+    With `indexed`, the rows (id) of the text index, it is held against the entries too. `recorded` is the backend and
+    model, 'a:b', that the index was built with; another one than the active is amiss, none is not.
+    """
     active = vectors.where((F.col("backend") == backend) & (F.col("model") == model))
+    ids = entries.select(norm_id(F.col("id")).alias("id")).where("id is not null").distinct()
     parts = {
         "n_files": _live_paths(files),
-        "n_entries": entries.select(norm_id(F.col("id")).alias("id")).where("id is not null").distinct(),
+        "n_entries": ids,
         "n_documents": docs.select("id").distinct(),
         "n_active_vectors": active.select(norm_id(F.col("doc_id")).alias("id")).distinct(),
+    }
+    amiss = {
         "n_entries_without_file": entries_without_file(entries, files),
         "n_files_without_entry": files_without_entry(entries, files),
         "n_unindexed": unindexed(docs, entries),
         "n_orphan_vectors": orphan_vectors(active, entries),
     }
-    counted = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in parts.items()]
-    rows = counted[0]
-    for part in counted[1:]:
-        rows = rows.unionByName(part)
-    wide = rows.groupBy().pivot("name", list(parts)).agg(F.first("n"))
-    amiss = F.col("n_entries_without_file") + F.col("n_files_without_entry") + F.col("n_unindexed") + F.col("n_orphan_vectors")
-    return wide.withColumn("healthy", (amiss == 0) & (F.col("n_files") == F.col("n_entries")))
+    if indexed is not None:
+        words = indexed.select(norm_id(F.col("id")).alias("id")).distinct()
+        parts["n_indexed"] = words
+        amiss |= {"n_without_postings": ids.join(words, "id", "left_anti"), "n_orphan_postings": words.join(ids, "id", "left_anti")}
+    wide = side_by_side(parts | amiss)
+    fine = sum((F.col(c) for c in amiss), F.lit(0)) == 0
+    other = F.lit(bool(recorded) and recorded != f"{backend}:{model}")
+    return wide.withColumn("other_backend", other).withColumn("healthy", fine & (F.col("n_files") == F.col("n_entries")) & ~other)

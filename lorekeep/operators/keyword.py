@@ -1,7 +1,8 @@
-"""Keyword search: BM25 over title, content and tags, facets, recency, and a stored inverted index."""
+"""Keyword search: queries, BM25 over title, content and tags, facets and recency."""
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -61,9 +62,8 @@ def _occurrences(unit: str) -> Column:
 def bm25(docs: DataFrame, query: Query | str) -> DataFrame:
     """The rows of docs (id, title, content, tags, ...) that match, with score; higher is better.
 
-    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; each unit counts if its group matched. The corpus is read
-    once for N, the mean length and the units' row counts (one row comes back), and once for the scores; both
-    passes are scans without a shuffle of text.
+    The corpus is scanned once for N, the mean length and the units' row counts (one row comes back), and once for
+    the scores, without a shuffle of text. It needs no index; operators.index scores the same from stored postings.
     """
     query = Query.parse(query) if isinstance(query, str) else query
     units = query.units()
@@ -78,13 +78,24 @@ def bm25(docs: DataFrame, query: Query | str) -> DataFrame:
     found = forms.agg(
         F.count("*").alias("n"), F.avg("_length").alias("mean"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"n{i}") for i in range(len(units)))
     ).first()
+    matched, score = combined(query, [found[f"n{i}"] for i in range(len(units))], found["n"], float(found["mean"] or 1.0))
+    for i in range(len(query.excluded)):
+        matched = matched & (F.col(f"_no{i}") == 0)
+    return forms.where(matched).withColumn("score", score).drop(*counts)
+
+
+def combined(query: Query, rows: list[int], n_rows: int, mean: float) -> tuple[Column, Column]:
+    """Whether a row matches a query without excluded units, and its score, from columns _length and _tf0, _tf1, ...
+    of its units; rows has in how many rows each unit is.
+
+    idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6; each unit counts if its group matched.
+    """
     one = {}
-    for i, unit in enumerate(units):
-        rows = found[f"n{i}"]
-        idf = F.greatest(F.log((F.lit(found["n"] - rows + 0.5)) / (rows + 0.5)), F.lit(LEAST_IDF))
+    for i, (unit, n) in enumerate(zip(query.units(), rows, strict=True)):
+        idf = max(math.log((n_rows - n + 0.5) / (n + 0.5)), LEAST_IDF)
         tf = F.col(f"_tf{i}")
-        norm = K1 * (1 - B + B * F.col("_length") / F.lit(float(found["mean"] or 1.0)))
-        one[unit] = (tf > 0, idf * tf * (K1 + 1) / (tf + norm))
+        norm = K1 * (1 - B + B * F.col("_length") / F.lit(mean))
+        one[unit] = (tf > 0, F.lit(idf) * tf * (K1 + 1) / (tf + norm))
     score, matched = F.lit(0.0), F.lit(False)
     for group in query.groups:
         hit = one[group[0]][0]
@@ -92,9 +103,7 @@ def bm25(docs: DataFrame, query: Query | str) -> DataFrame:
             hit = hit & one[unit][0]
         score = score + F.when(hit, sum((one[u][1] for u in group[1:]), one[group[0]][1])).otherwise(0.0)
         matched = matched | hit
-    for i in range(len(query.excluded)):
-        matched = matched & (F.col(f"_no{i}") == 0)
-    return forms.where(matched).withColumn("score", score).drop(*counts)
+    return matched, score
 
 
 @dataclass
@@ -124,48 +133,44 @@ class Facets:
         return docs
 
 
-def search(
-    docs: DataFrame, query: Query | str, facets: Facets | None = None, as_of: datetime | None = None, limit: int = 20, sort: str = "relevance"
-) -> DataFrame:
-    """The best rows: the max(2 * limit, 50) best by BM25 among those that pass the facets, their scores raised for
-    recent rows (given as_of), ordered anew by score or by created, and cut to limit. Ties go by id."""
+def _hits(source, query: Query | str, facets: Facets) -> DataFrame:
+    """Scored rows of a corpus (a DataFrame, scanned) or of a SearchIndex that pass the facets; without texts in the
+    latter case."""
+    if isinstance(source, DataFrame):
+        return facets.where(bm25(source, query))
+    return facets.where(source.rows.drop("generation", "gone", "length")).join(source.bm25(query), "id")
+
+
+def _with_texts(source, hits: DataFrame, *added: str) -> DataFrame:
+    """A bounded number of hits with the columns of the corpus."""
+    if isinstance(source, DataFrame) or source.docs is None:
+        return hits
+    return source.docs.join(F.broadcast(hits.select("id", *added)), "id")
+
+
+def search(source, query: Query | str, facets: Facets | None = None, as_of: datetime | None = None, limit: int = 20, sort: str = "relevance") -> DataFrame:
+    """The best rows of a corpus or a SearchIndex: the max(2 * limit, 50) best by BM25 among those that pass the
+    facets, their scores raised for recent rows (given as_of), ordered anew by score or by created, and cut to limit.
+    Ties go by id. Texts are fetched for these rows only."""
     if sort not in ("relevance", "date"):
         raise ValueError(f"no such order: {sort!r}")
-    hits = (facets or Facets()).where(bm25(docs, query)).orderBy(F.desc("score"), "id").limit(max(2 * limit, 50))
+    hits = _hits(source, query, facets or Facets()).orderBy(F.desc("score"), "id").limit(max(2 * limit, 50))
     if as_of is not None:
         hits = hits.withColumn("score", recency_boosted(F.col("score"), F.col("created"), F.lit(as_of)))
     order = F.desc_nulls_last("created") if sort == "date" else F.desc("score")
-    return hits.orderBy(order, "id").limit(limit).withColumn("preview", preview(F.col("content")))
+    best = _with_texts(source, hits.orderBy(order, "id").limit(limit), "score")
+    return (best.withColumn("preview", preview(F.col("content"))) if "content" in best.columns else best).orderBy(order, "id")
 
 
-def note_search(docs: DataFrame, query: Query | str, category: str | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
+def note_search(source, query: Query | str, category: str | None = None, tags: tuple[str, ...] = ()) -> DataFrame:
     """The 50 best notes, of which those that carry every tag stay (equality without regard to case)."""
-    hits = Facets(type="note", category=category).where(bm25(docs, query)).orderBy(F.desc("score"), "id").limit(50)
+    hits = _hits(source, query, Facets(type="note", category=category)).orderBy(F.desc("score"), "id").limit(50)
     wanted = F.array(*[F.lit(t.lower()) for t in tags]).cast("array<string>")
-    return hits.where(F.size(F.array_except(wanted, F.transform(F.coalesce("tags", F.array()), lambda t: F.lower(t)))) == 0)
+    tagged = hits.where(F.size(F.array_except(wanted, F.transform(F.coalesce("tags", F.array()), lambda t: F.lower(t)))) == 0)
+    return _with_texts(source, tagged, "score").orderBy(F.desc("score"), "id")
 
 
-def session_search(docs: DataFrame, query: Query | str, branch: str | None = None, after: str | None = None, before: str | None = None) -> DataFrame:
+def session_search(source, query: Query | str, branch: str | None = None, after: str | None = None, before: str | None = None) -> DataFrame:
     facets = Facets(type="session", branch=branch, after=after, before=before)
-    return facets.where(bm25(docs, query)).orderBy(F.desc("score"), "id").limit(50)
-
-
-def postings(docs: DataFrame) -> DataFrame:
-    """The inverted index: (term, id, field, tf, positions). Write it with write_postings."""
-    fields = F.explode(
-        F.array(*[F.struct(F.lit(f).alias("field"), search_form(F.array_join(f, " ") if f == "tags" else F.col(f)).alias("text")) for f in FIELDS])
-    )
-    words = docs.select("id", fields.alias("f")).select("id", "f.field", F.posexplode(F.split(F.trim("f.text"), " ")).alias("at", "term"))
-    return words.where("term <> ''").groupBy("term", "id", "field").agg(
-        F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")
-    )
-
-
-def write_postings(docs: DataFrame, path: str, files: int) -> None:
-    """Range-partitioned and sorted by term, so a look-up reads the row groups of its terms only."""
-    postings(docs).repartitionByRange(files, "term", "id").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(path)
-
-
-def lookup(index: DataFrame, terms: list[str]) -> DataFrame:
-    """tf of each term in each row from a stored index; the filter on term is pushed to the Parquet scan."""
-    return index.where(F.col("term").isin(terms)).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+    hits = _hits(source, query, facets).orderBy(F.desc("score"), "id").limit(50)
+    return _with_texts(source, hits, "score").orderBy(F.desc("score"), "id")

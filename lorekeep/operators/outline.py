@@ -62,3 +62,10 @@ def outline(files: DataFrame) -> DataFrame:
             name = F.when(fits, F.regexp_replace(F.regexp_extract("text", pattern, 0), f"(?s){pattern}.*", shown)).otherwise(name)
     found = lines.where("language <> ''").withColumns({"kind": kind, "name": name}).where("kind is not null")
     return found.select("path", "language", (F.col("at") + 1).alias("line"), "kind", "name", F.trim("text").alias("signature"))
+
+
+def symbol_counts(files: DataFrame) -> DataFrame:
+    """(path, language, n_symbols) of files in known languages, also of those without a symbol."""
+    known = files.select("path", language_of(F.col("path")).alias("language")).where("language <> ''").distinct()
+    counts = outline(files).groupBy("path").agg(F.count("*").alias("n_symbols"))
+    return known.join(counts, "path", "left").fillna(0, ["n_symbols"])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lorekeep.functions.text import terms
 
@@ -32,14 +33,18 @@ def vocabulary(frequency: DataFrame, n_docs: int) -> DataFrame:
     return frequency.where(F.col("df") <= most)
 
 
+def weighted(counts: DataFrame, known: DataFrame, n_docs: int) -> DataFrame:
+    """(id, term, w): (1 + ln tf) * ln((N + 1) / (df + 1)), scaled to length 1 per row, by the vocabulary known (term,
+    df). Rows stay sparse; terms outside the vocabulary are ignored, and a row without weight has no rows. The
+    lengths are summed per row and joined back, so a long row is never sorted in one place."""
+    raw = counts.join(known, "term").select("id", "term", ((1 + F.log("tf")) * F.log(F.lit(n_docs + 1) / (F.col("df") + 1))).alias("w"))
+    norms = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
+    return raw.join(norms, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+
+
 def tfidf(counts: DataFrame, frequency: DataFrame, n_docs: int) -> DataFrame:
-    """(id, term, w): (1 + ln tf) * ln((N + 1) / (df + 1)), scaled to length 1 per row. Rows stay sparse; terms
-    outside the vocabulary are ignored, and a row without weight has no rows."""
-    raw = counts.join(vocabulary(frequency, n_docs), "term").select(
-        "id", "term", ((1 + F.log("tf")) * F.log(F.lit(n_docs + 1) / (F.col("df") + 1))).alias("w")
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))
-    return raw.withColumn("norm", norm).where("norm > 0").select("id", "term", (F.col("w") / F.col("norm")).alias("w"))
+    """weighted() by the vocabulary of term frequencies."""
+    return weighted(counts, vocabulary(frequency, n_docs), n_docs)
 
 
 def similar_rows(weights: DataFrame, query: DataFrame) -> DataFrame:
@@ -56,16 +61,21 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def nearest_to(vectors: DataFrame, query: list[float], limit: int = 20, vector: str = "vector", key: str = "doc_id") -> DataFrame:
-    """The rows most similar to one query vector, by dot product above 0.01. The query is a literal in the plan;
-    rows of another length never match. Products are taken by numpy over Arrow batches."""
+    """The rows most similar to one query vector, by dot product above 0.01. Rows of another length never match. The
+    vectors of an Arrow batch are one matrix, multiplied at once."""
     q = np.asarray(query, dtype=np.float64)
 
-    @F.pandas_udf("double")
-    def against(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.map(lambda v: float(np.asarray(v, dtype=np.float64) @ q) if v is not None and len(v) == len(q) else 0.0).astype(float)
-
-    scored = vectors.withColumn("similarity", against(F.col(vector)))
+            column = batch.column(batch.schema.get_field_index(vector))
+            fits = np.flatnonzero(pc.equal(pc.list_value_length(column), len(q)).fill_null(False).to_numpy(zero_copy_only=False))
+            matrix = column.take(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(q))
+            similarity = np.zeros(batch.num_rows)
+            similarity[fits] = np.nan_to_num(matrix @ q, nan=0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(similarity)], [*batch.schema.names, "similarity"])
+
+    schema = StructType([*vectors.schema.fields, StructField("similarity", DoubleType())])
+    scored = vectors.mapInArrow(against, schema) if len(q) else vectors.withColumn("similarity", F.lit(0.0))
     return scored.where(F.col("similarity") > LEAST_COSINE).orderBy(F.desc("similarity"), key).limit(limit)
 
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import TERM_STOP_WORDS, id8, note_preview
 from lorekeep.operators import weights
 from lorekeep.operators.hybrid import fuse
+from lorekeep.operators.index import SearchIndex
 from lorekeep.operators.keyword import Facets, Query, bm25, note_search, search, session_search
-from lorekeep.session import cut
+from lorekeep.plans.indexes import search_index, weight_index
 from lorekeep.sources.corpus import corpus
 from lorekeep.sources.tables import table
 
 AS_OF = datetime(2025, 7, 1)
+PROJECT = "harbor-ledger"
 QUERY_TEXT = "deadline of the retry queue after a rollback"
 
 BM25 = {
@@ -30,27 +32,43 @@ BM25 = {
 
 def _bm25(text: str):
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return bm25(corpus(spark, folder), text).select("id", "type", F.round("score", 6).alias("score"))
+        index = search_index(spark, folder)
+        return index.rows.select("id", "type").join(index.bm25(text), "id").select("id", "type", F.round("score", 6).alias("score"))
 
     return run
 
 
+def search_scanned(spark: SparkSession, folder: str) -> DataFrame:
+    """A search of a corpus without an index."""
+    return bm25(corpus(spark, folder), '"row group" OR check* NOT replica').select("id", F.round("score", 6).alias("score"))
+
+
 def search_faceted(spark: SparkSession, folder: str) -> DataFrame:
-    hits = search(corpus(spark, folder), "replica OR deadline", Facets(tags=("ap",), after="2024-09-01", before="2025-06-30"), AS_OF)
+    hits = search(search_index(spark, folder), "replica OR deadline", Facets(tags=("ap",), after="2024-09-01", before="2025-06-30"), AS_OF)
     return hits.select("id", "type", "title", "preview", F.round("score", 6).alias("score"))
 
 
+def search_category(spark: SparkSession, folder: str) -> DataFrame:
+    hits = search(search_index(spark, folder), "queue OR checksum", Facets(type="note", category="how-to"), limit=30)
+    return hits.select("id", "category", F.round("score", 6).alias("score"))
+
+
+def search_project(spark: SparkSession, folder: str) -> DataFrame:
+    hits = search(search_index(spark, folder), "queue OR replica", Facets(project=PROJECT), AS_OF, limit=10)
+    return hits.select("id", "project", F.round("score", 6).alias("score"))
+
+
 def search_by_date(spark: SparkSession, folder: str) -> DataFrame:
-    return search(corpus(spark, folder), "checksum OR lease", sort="date", limit=15).select("id", "created", F.round("score", 6).alias("score"))
+    return search(search_index(spark, folder), "checksum OR lease", sort="date", limit=15).select("id", "created", F.round("score", 6).alias("score"))
 
 
 def search_note_tags(spark: SparkSession, folder: str) -> DataFrame:
-    hits = note_search(corpus(spark, folder), "queue", tags=("API",))
+    hits = note_search(search_index(spark, folder), "queue", tags=("API",))
     return hits.select("id", "category", note_preview(F.col("title")).alias("title"), F.round("score", 6).alias("score"))
 
 
 def search_sessions(spark: SparkSession, folder: str) -> DataFrame:
-    hits = session_search(corpus(spark, folder), "queue OR lease", branch="FIX", after="2024-08-01")
+    hits = session_search(search_index(spark, folder), "queue OR lease", branch="FIX", after="2024-08-01")
     return hits.select(id8(F.col("id")).alias("id8"), "branch", "date", F.round("score", 6).alias("score"))
 
 
@@ -79,14 +97,7 @@ def tfidf_norms(spark: SparkSession, folder: str) -> DataFrame:
 
 def _semantic(spark: SparkSession, folder: str, limit: int) -> DataFrame:
     """Rows of the corpus most similar to QUERY_TEXT by TF-IDF."""
-    docs = corpus(spark, folder)
-    n = docs.count()
-    counts = cut(weights.term_counts(docs, "id", F.col("content")), "counts")  # used three times
-    frequency = weights.document_frequency(counts)
-    asked = docs.sparkSession.createDataFrame([("query", QUERY_TEXT)], "id string, text string")
-    query = weights.tfidf(weights.term_counts(asked, "id", F.col("text")), frequency, n)
-    hits = weights.similar_rows(weights.tfidf(counts, frequency, n), query)
-    return hits.orderBy(F.desc("similarity"), "id").limit(limit)
+    return weight_index(spark, folder).similar(QUERY_TEXT).orderBy(F.desc("similarity"), "id").limit(limit)
 
 
 def tfidf_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -94,13 +105,22 @@ def tfidf_search(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def semantic_enriched(spark: SparkSession, folder: str) -> DataFrame:
-    docs = corpus(spark, folder).select("id", "type", "title", "date")
-    hits = _semantic(spark, folder, 40).join(docs, "id").orderBy(F.desc("similarity"), "id").limit(20)
+    rows = search_index(spark, folder).rows.select("id", "type", "title", "date")
+    hits = _semantic(spark, folder, 40).join(rows, "id").orderBy(F.desc("similarity"), "id").limit(20)
     return hits.select("id", "type", "title", "date", F.round("similarity", 5).alias("similarity"))
 
 
 def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
-    keyword = search(corpus(spark, folder), "deadline retry OR rollback", as_of=AS_OF).select("id", "score")
+    index = search_index(spark, folder)
+    keyword = search(SearchIndex(index.postings, index.rows), "deadline retry OR rollback", as_of=AS_OF).select("id", "score")
+    semantic = _semantic(spark, folder, 20).select("id", F.col("similarity").alias("score"))
+    return fuse(keyword, semantic).select("id", F.round("score", 4).alias("score"))
+
+
+def fuse_one_side(spark: SparkSession, folder: str) -> DataFrame:
+    """Fusion with a keyword side that finds nothing: the other side's raw scores."""
+    index = search_index(spark, folder)
+    keyword = search(SearchIndex(index.postings, index.rows), "zzqqxxunknown").select("id", "score")
     semantic = _semantic(spark, folder, 20).select("id", F.col("similarity").alias("score"))
     return fuse(keyword, semantic).select("id", F.round("score", 4).alias("score"))
 
@@ -114,8 +134,8 @@ def knn_cosine(spark: SparkSession, folder: str) -> DataFrame:
 def queries():
     own = {name: _bm25(text) for name, text in BM25.items()}
     named = (
-        search_faceted, search_by_date, search_note_tags, search_sessions, term_stats, vocab_filtered, tfidf_norms, tfidf_search,
-        semantic_enriched, hybrid_search, knn_cosine,
+        search_scanned, search_faceted, search_category, search_project, search_by_date, search_note_tags, search_sessions, term_stats,
+        vocab_filtered, tfidf_norms, tfidf_search, semantic_enriched, hybrid_search, fuse_one_side, knn_cosine,
     )
     return own | {q.__name__: q for q in named}
 
@@ -212,6 +232,12 @@ def oracle_sql() -> dict[str, str]:
             hits as (select * from scored where array_to_string(tags, ' ') ilike '%ap%' and date between '2024-09-01' and '2025-06-30'
               order by score desc, id limit 50)
             select id, type, title, {_PREVIEW} as preview, round(score * {_BOOST}, 6) as score from hits order by score * {_BOOST} desc, id limit 20""",
+        "search_scanned": f"with {_scored('\"row group\" OR check* NOT replica')} select id, round(score, 6) as score from scored",
+        "search_category": f"""with {_scored('queue OR checksum')} select id, category, round(score, 6) as score from scored
+            where type = 'note' and category = 'how-to' order by scored.score desc, id limit 30""",
+        "search_project": f"""with {_scored('queue OR replica')}, hits as (select * from scored where project = '{PROJECT}' order by score desc, id limit 50)
+            select id, project, round(score * {_BOOST}, 6) as score from hits order by hits.score * {_BOOST} desc, id limit 10""",
+        "fuse_one_side": f"with {_SEMANTIC} select id, round(similarity, 4) as score from semantic order by semantic.similarity desc, id limit 20",
         "search_by_date": f"""with {_scored('checksum OR lease')}, hits as (select * from scored order by score desc, id limit 50)
             select id, created, round(score, 6) as score from hits order by created desc nulls last, id limit 15""",
         "search_note_tags": f"""with {_scored('queue')}, hits as (select * from scored where type = 'note' order by score desc, id limit 50)

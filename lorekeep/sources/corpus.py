@@ -6,15 +6,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lorekeep.session import cut
 from lorekeep.sources.tables import table
 
 
-def latest(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+def latest(df: DataFrame, keys: list[str], *order: str, most_broadcast_rows: int = 1_000_000) -> DataFrame:
     """The row of each key that comes first by `order`, descending with nulls last. Ties are decided by the
-    columns named after, so name enough of them; rows with a null key are left out."""
-    by = W.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in order))
+    columns named after, so name enough of them; rows with a null key are left out.
+
+    Which keys have several rows is counted on the keys alone. All others, nearly all, pass where they are read; only
+    rows of repeated keys, texts and all, are shuffled and ordered.
+    """
     present = df.where(" and ".join(f"{k} is not null" for k in keys))
-    return present.withColumn("_place", F.row_number().over(by)).where("_place = 1").drop("_place")
+    repeated = cut(present.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys), "repeated")
+    if repeated.count() <= most_broadcast_rows:
+        repeated = F.broadcast(repeated)
+    by = W.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in order))
+    first = present.join(repeated, keys, "left_semi").withColumn("_place", F.row_number().over(by)).where("_place = 1").drop("_place")
+    return present.join(repeated, keys, "left_anti").unionByName(first)
 
 
 def searchable(prefix: str = "") -> Column:

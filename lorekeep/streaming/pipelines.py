@@ -10,7 +10,8 @@ from lorekeep.functions.keys import norm_id
 from lorekeep.functions.text import observation
 from lorekeep.functions.times import instant_micros
 from lorekeep.operators.capture import CAPTURED_TOOL, HOOK
-from lorekeep.operators.keyword import postings
+from lorekeep.operators.index import postings_of, rows_of
+from lorekeep.session import cut
 from lorekeep.sources.sinks import Store
 
 
@@ -37,15 +38,16 @@ def into_store(rows: DataFrame, store: Store, name: str, keys: list[str], checkp
 
 
 def index_updates(docs: DataFrame, store: Store, checkpoint: str) -> DataStreamWriter:
-    """Keeps the inverted index of the store: the postings of changed rows replace their old ones."""
+    """Keeps the inverted index of the store: each micro-batch appends the postings of its rows as a generation, sorted
+    by term like the rest, and older ones of these rows no longer count. Of rows that come twice in a batch any one
+    counts. A batch that is replayed appends the same again under a higher generation."""
 
     def write(batch: DataFrame, _: int) -> None:
-        if batch.isEmpty():
-            return
-        new = postings(batch)
-        if store.version("postings"):
-            new = store.read("postings").join(batch.select("id").distinct(), "id", "left_anti").unionByName(new)
-        store.overwrite("postings", new)
+        if not batch.isEmpty():
+            rows = cut(batch.dropDuplicates(["id"]), "batch")
+            generation = store.version("index_rows") + 1
+            store.append("postings", postings_of(rows, generation))
+            store.append("index_rows", rows_of(rows, generation))
 
     return docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
 

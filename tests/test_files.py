@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import embed
+from lorekeep.operators.index import SearchIndex
 from lorekeep.sources import markdown, sinks
 from lorekeep.sources.config import Config
 from lorekeep.streaming import pipelines
@@ -114,15 +115,65 @@ def test_store(spark, tmp_path):
     frame = lambda rows: spark.createDataFrame(rows, "id string, category string, title string, content string, type string, tags array<string>, created timestamp, updated timestamp, metadata map<string,string>")
     now = datetime(2025, 1, 1)
     note = lambda i, title, content, tags: (i, "c", title, content, "note", tags, now, now, {})
-    assert [r["how"] for r in store.add_notes(frame([note("1", "A", "x", ["T"])])).collect()] == ["created"]
-    how = {r["id"]: r["how"] for r in store.add_notes(frame([note("2", "A", "y", ["t", "u"]), note("3", "B", "z", [])])).collect()}
-    assert how == {"1": "merged", "3": "created"}
+    placed = lambda rows: {r["id"]: (r["into"], r["how"]) for r in store.add_notes(frame(rows)).collect()}
+    assert placed([note("1", "A", "x", ["T"])]) == {"1": ("1", "created")}
+    assert placed([note("2", "A", "y", ["t", "u"]), note("3", "B", "z", [])]) == {"2": ("1", "merged"), "3": ("3", "created")}
     rows = {r["id"]: r for r in store.read("notes").collect()}
-    assert set(rows) == {"1", "3"} and rows["1"]["tags"] == ["T", "u"] and rows["1"]["content"].startswith("x\n\n--- Updated")
-    store.delete("notes", spark.createDataFrame([("1",)], "id string"), ["id"], ("category",))
+    assert set(rows) == {"1", "3"} and rows["1"]["tags"] == ["T", "u"] and rows["1"]["content"] == "x\n\n--- Updated 2025-01-01 00:00 ---\ny"
+    store.delete("notes", spark.createDataFrame([("1",)], "id string"), ["id"])
     assert {r["id"] for r in store.read("notes").collect()} == {"3"}
 
 
+def test_notes_of_one_batch_meet(spark, tmp_path):
+    """Two new notes of one title, then two that are merged into it, one of them by a similar title: nothing is lost."""
+    store = sinks.Store(spark, f"file://{tmp_path}/s")
+    schema = "id string, category string, title string, content string, type string, tags array<string>, created timestamp, updated timestamp, metadata map<string,string>"
+    note = lambda i, title, content, **m: (i, "c", title, content, "note", [f"t{i}"], datetime(2025, 1, int(i)), datetime(2025, 1, int(i)), m)
+    add = lambda *rows: {r["id"]: (r["into"], r["how"]) for r in store.add_notes(spark.createDataFrame(rows, schema)).collect()}
+    assert add(note("1", "Retry queue drain", "first", a="1"), note("2", "Retry queue drain", "second", a="2", b="x")) == {"1": ("1", "created"), "2": ("1", "merged")}
+    assert add(note("3", "Retry queue drain", "third"), note("4", "Drain of retry queue", "fourth", b="")) == {"3": ("1", "merged"), "4": ("1", "merged")}
+    assert add(note("4", "Drain of retry queue", "fourth")) == {"4": ("1", "merged")} and add(note("1", "X", "y")) == {"1": ("1", "known")}
+    (row,) = store.read("notes").collect()
+    assert [x for x in ("first", "second", "third", "fourth") if x in row["content"]] == ["first", "second", "third", "fourth"]
+    assert row["tags"] == ["t1", "t2", "t3", "t4"] and row["metadata"] == {"a": "2", "b": "x"} and row["updated"] == datetime(2025, 1, 4)
+
+
+def test_changes_touch_their_parts_only(spark, tmp_path):
+    store = sinks.Store(spark, f"file://{tmp_path}/s")
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("x"))
+    store.upsert("t", rows, ["id"])
+    before = store._manifest("t", 1)["parts"]
+    assert len(before) == store.n_parts and not store.is_grown("t")
+    store.upsert("t", spark.createDataFrame([("7", "b", 1)], "id string, x string, y int"), ["id"])
+    after = store._manifest("t", 2)["parts"]
+    assert sum(before[p] != after[p] for p in before) == 1
+    assert {(r["x"], r["y"]): r["count"] for r in store.read("t").groupBy("x", "y").count().collect()} == {("a", None): 999, ("b", 1): 1}
+    store.delete("t", spark.createDataFrame([("7",), ("none",)], "id string"), ["id"])
+    assert store.read("t").count() == 999 and store._versions("t") == [2, 3]
+    store.append("log", rows.limit(3))
+    store.append("log", rows.limit(2))
+    assert store.read("log").count() == 5 and store.is_grown("log")
+
+
+def test_partitions_are_replaced_alone(spark, tmp_path):
+    store = sinks.Store(spark, f"file://{tmp_path}/s")
+    frame = lambda *rows: spark.createDataFrame(rows, "doc_id string, backend string, model string, n int")
+    store.overwrite("v", frame(("a", "x", "m", 1), ("b", "x", "m", 1), ("a", "y", "m", 1)), "doc_id", ("backend", "model"))
+    store.replace("v", frame(("a", "x", "m", 2)), backend="x", model="m")
+    assert {tuple(r) for r in store.read("v").collect()} == {("a", "x", "m", 2), ("a", "y", "m", 1)}
+    assert store.read("v", backend="y", model="m").count() == 1 and len(store.read("v", backend="y", model="m").inputFiles()) == 1
+    store.upsert("v", frame(("a", "y", "m", 3)), ["doc_id", "backend", "model"])
+    assert {tuple(r) for r in store.read("v").collect()} == {("a", "x", "m", 2), ("a", "y", "m", 3)}
+
+
+def test_a_torn_write_is_not_seen(spark, tmp_path):
+    store = sinks.Store(spark, f"file://{tmp_path}/s")
+    rows = spark.createDataFrame([("a",)], "id string")
+    store.overwrite("t", rows, "id")
+    (tmp_path / "s" / "t" / "versions" / ".2-torn").write_text("{")
+    assert store.version("t") == 1 and store.read("t").count() == 1
+
+
 def test_config(tmp_path):
     config = Config(tmp_path / "c.json")
     config.set("on", "true")
@@ -182,4 +233,5 @@ def test_streams(spark, tmp_path):
     pipelines.run_once(pipelines.index_updates(stream(), store, str(tmp_path / "c2")))
     spark.createDataFrame([("1", "T", "queue", [])], schema).write.mode("append").parquet(str(tmp_path / "docs"))
     pipelines.run_once(pipelines.index_updates(stream(), store, str(tmp_path / "c2")))
-    assert {r["term"] for r in store.read("postings").collect()} == {"t", "queue"}
+    index = SearchIndex(store.read("postings"), store.read("index_rows"), changed=store.is_grown("index_rows"))
+    assert {r["id"] for r in index.bm25("queue").collect()} == {"1"} and index.bm25("replica").count() == 0 and index.n_rows == 1

@@ -2,10 +2,12 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators import features, keyword
-from lorekeep.sources.corpus import corpus
+from lorekeep.plans import search_queries
+from lorekeep.sources.corpus import corpus, notes
 from lorekeep.sources.tables import table
 
 
@@ -35,10 +37,24 @@ def test_facets_reach_the_scan(spark, folder, tmp_path):
     assert re.search(r"ReadSchema: struct<id:string,type:string,category:string,date:string>", plan(rows))
 
 
-def test_look_ups_reach_the_index_scan(spark, folder, tmp_path):
-    keyword.write_postings(corpus(spark, folder), str(tmp_path / "p"), 4)
-    text = plan(keyword.lookup(spark.read.parquet(str(tmp_path / "p")), ["replica", "lag"]))
-    assert "In(term" in text and "positions" not in text
+TEXTS = ("content", "summary", "what_happened", "decisions", "insights")
+
+
+@pytest.mark.parametrize("name", ["bm25_or", "bm25_phrase", "search_faceted", "hybrid_search", "tfidf_search"])
+def test_searches_read_their_terms_and_shuffle_no_text(spark, folder, name):
+    text = plan(search_queries.queries()[name](spark, folder))
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\][^\n]*PushedFilters: \[([^\n]*)\], ReadSchema", text)
+    stored = [(columns, pushed) for columns, pushed in scans if "term#" in columns]
+    assert all("In(term" in pushed or "EqualTo(term" in pushed or "Or(" in pushed for _, pushed in stored)
+    assert stored or name == "hybrid_search"
+    if name != "search_faceted":  # it fetches the texts of its few hits
+        assert not any(t in columns for columns, _ in scans for t in TEXTS)
+
+
+def test_current_rows_are_chosen_on_keys(spark, folder):
+    """Only rows of repeated ids go through an exchange with their texts."""
+    text = plan(notes(spark, folder))
+    assert len(re.findall(r"Exchange hashpartitioning", text)) == 1 and len(re.findall(r"BroadcastHashJoin \[id[^\n]*LeftSemi", text)) == 1
 
 
 def test_bloom_filter_is_broadcast_only_below_its_limit(spark):

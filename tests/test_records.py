@@ -26,8 +26,8 @@ def test_merges(spark):
     assert {(r["path"], r["description"]) for r in dedup.merge_changes(changes).collect()} == {("p", "a; b"), ("q", "c")}
     related = spark.createDataFrame([("k", 1, "12345678"), ("k", 2, "12345678-full"), ("k", 3, "other123")], "key string, seq int, id string")
     assert {r["id"] for r in dedup.merge_related(related).collect()} == {"12345678-full", "other123"}
-    sections = spark.createDataFrame([("k", 1, "Map", "a"), ("k", 2, "map", "b"), ("k", 3, "MAP", "a")], "key string, seq int, name string, content string")
-    assert [tuple(r) for r in dedup.merge_sections(sections).select("name", "content").collect()] == [("Map", "a\n\nb")]
+    sections = spark.createDataFrame([("k", 1, "Map", "a", "T1"), ("k", 2, "map", "b", "T2"), ("k", 3, "MAP", "a", "T3")], "key string, seq int, name string, content string, updated string")
+    assert [tuple(r) for r in dedup.merge_sections(sections).select("name", "content").collect()] == [("Map", "a\n\n--- Updated T2 ---\nb")]
 
 
 def test_session_merge(spark, folder):
@@ -80,6 +80,56 @@ def test_fold(spark):
     assert folded["4"] == ("4", "created") and folded["6"] == ("5", "merged") and len(folded) == len(rows)
 
 
+def fold_one_by_one(rows, stored=()):
+    """The rule as it reads: each note against all that stand, exact titles first, then the most similar."""
+    from lorekeep.functions.text import TITLE_STOP_WORDS
+
+    words = lambda t: frozenset(w for w in (t or "").lower().split() if len(w.encode()) >= 3 and w not in TITLE_STOP_WORDS)
+    order = lambda r: (r[3] is not None, r[3], r[0])
+    standing, out = sorted(stored, key=order), {}
+    for r in sorted(rows, key=order):
+        into = next((x[0] for x in standing if x[1] == r[1] and (x[2] or "") == (r[2] or "")), None)
+        best, own = 0, words(r[2])
+        if into is None and len(own) >= 2:
+            for x in standing:
+                theirs = words(x[2])
+                if x[1] == r[1] and len(theirs) >= 2 and (overlap := len(own & theirs) / min(len(own), len(theirs))) >= 0.5 and overlap > best:
+                    best, into = overlap, x[0]
+        out[r[0]] = into or r[0]
+        if into is None:
+            standing.append(r)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_fold_equals_one_by_one(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    title = lambda: " ".join(rng.choice(["Retry", "queue", "drain", "cache", "replica", "index", "token", "lag", "a"]) for _ in range(rng.randrange(1, 5)))
+    note = lambda i, day: (f"n{i:03}", rng.choice("cd"), rng.choice([title(), title(), None, "One", ""]), rng.choice([datetime(2025, 1, day), None]))
+    schema = "id string, category string, title string, created timestamp"
+    stored = [r for r in (note(i, 1) for i in range(900, 912))]
+    keep = fold_one_by_one(stored)
+    stored = [r for r in stored if keep[r[0]] == r[0]]
+    rows = [note(i, rng.randrange(1, 28)) for i in range(120)]
+    for old in ([], stored):
+        frame = spark.createDataFrame(old, schema) if old else None
+        got = {r["id"]: r["into"] for r in dedup.fold_notes(spark.createDataFrame(rows, schema), frame).collect()}
+        assert got == fold_one_by_one(rows, old)
+
+
+def test_reports_find_their_session(spark):
+    """By session id, by day, and into a session without id that was there first."""
+    rows = [
+        ("a", "s1", "d1", 1), ("b", "s1", "d2", 5), ("c", "", "d1", 2), ("d", None, "d1", 9), ("e", "s2", "d1", 3), ("f", "s2", "d3", 4), ("g", "s2", "d1", 6), ("h", "s3", "d9", 1),
+    ]
+    frame = spark.createDataFrame([(i, s, d, None, "b", datetime(2025, 1, n)) for i, s, d, n in rows], "id string, session_id string, date string, project string, branch string, created timestamp")
+    key = {r["id"]: r["key"] for r in dedup.session_targets(frame).collect()}
+    assert key["a"] == key["b"] == "id\x1fs1" and key["c"] == key["d"] == key["e"] and key["f"] == key["g"] == "id\x1fs2" and key["h"] == "id\x1fs3"
+    assert key["e"].startswith("day") and len(key) == len(rows)
+
+
 def test_graph(spark):
     n = spark.createDataFrame(
         [("aaaaaaaa-1", "T1", "c", {"session_id": "s"}), ("bbbbbbbb-1", 'T"2', "c", {}), ("cccccccc-1", "T3", "c", None)],
@@ -180,17 +230,17 @@ def test_registered(spark, folder, name):
 
 def test_merged_sessions_keep_their_lists_of_structs(spark):
     lists = "changes array<struct<path:string,description:string>>, problems array<struct<problem:string,solution:string>>, related_notes array<struct<id:string,title:string,category:string>>, extra_sections array<struct<name:string,content:string>>"
-    plain = "id string, session_id string, date string, project string, branch string, created string, title string, tags array<string>, summary string, what_happened string, decisions array<string>, insights array<string>, questions array<string>, next_steps array<string>, "
+    plain = "id string, session_id string, date string, project string, branch string, created timestamp, title string, tags array<string>, summary string, what_happened string, decisions array<string>, insights array<string>, questions array<string>, next_steps array<string>, "
     same = ["2025", "p", "b"]
     blank = ["t", None, None, None, None, None, None, None]
     rows = [
-        ("1", "s", *same, "1", *blank, [("z", "one"), ("a", "x")], [("p", "first")], [("12345678", "n", "c")], [("Map", "m")]),
-        ("2", "s", *same, "2", *blank, [("z", "two"), ("z", "one")], [("p", "later"), ("q", "s")], [("12345678-full", "n", "c")], [("map", "k"), ("New", "n")]),
-        ("3", "other", *same, "1", *blank, None, [], None, None),
+        ("1", "s", *same, datetime(2025, 1, 1), *blank, [("z", "one"), ("a", "x")], [("p", "first")], [("12345678", "n", "c")], [("Map", "m")]),
+        ("2", "s", *same, datetime(2025, 1, 2), *blank, [("z", "two"), ("z", "one")], [("p", "later"), ("q", "s")], [("12345678-full", "n", "c")], [("map", "k"), ("New", "n")]),
+        ("3", "other", *same, datetime(2025, 1, 1), *blank, None, [], None, None),
     ]
     got = {r["id"]: r for r in dedup.merge_sessions(spark.createDataFrame(rows, plain + lists)).collect()}
     assert [tuple(x) for x in got["1"]["changes"]] == [("z", "one; two"), ("a", "x")]
     assert [tuple(x) for x in got["1"]["problems"]] == [("p", "first"), ("q", "s")]
     assert [x["id"] for x in got["1"]["related_notes"]] == ["12345678-full"]
-    assert [tuple(x) for x in got["1"]["extra_sections"]] == [("Map", "m\n\nk"), ("New", "n")]
+    assert [tuple(x) for x in got["1"]["extra_sections"]] == [("Map", "m\n\n--- Updated 2025-01-02 00:00 ---\nk"), ("New", "n")]
     assert got["3"]["changes"] == got["3"]["problems"] == got["3"]["related_notes"] == got["3"]["extra_sections"] == []

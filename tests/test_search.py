@@ -1,9 +1,11 @@
 import sqlite3
 
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.operators import keyword, weights
 from lorekeep.operators.hybrid import fuse
+from lorekeep.operators.index import SearchIndex, WeightIndex, postings_of, rows_of
 
 DOCS = [
     ("1", "Row group cache", "the replica holds a row group of the café", ["api", "rest"]),
@@ -51,18 +53,41 @@ def test_unknown_order_is_an_error(docs):
         keyword.search(docs, "x", sort="updated")
 
 
-def test_stored_index(spark, docs, tmp_path):
-    keyword.write_postings(docs, str(tmp_path / "p"), 2)
-    index = spark.read.parquet(str(tmp_path / "p"))
-    assert {(r["id"], r["tf"]) for r in keyword.lookup(index, ["replica"]).collect()} == {("1", 1), ("2", 3), ("6", 1)}
-    row = index.where("id = '2' and field = 'content' and term = 'replica'").first()
-    assert row["positions"] == [0, 1]
+QUERIES = ["replica", "replica queue", "replica OR checksum", "queue NOT drain", "dead*", '"row group"', '"dev orchestrator"', "cafe", '"replica replica lag" OR "row gro"*', "none"]
 
 
-def test_tfidf(spark):
+def test_stored_index_scores_like_a_scan(spark, docs, tmp_path):
+    postings_of(docs).write.parquet(str(tmp_path / "p"))
+    rows_of(docs).write.parquet(str(tmp_path / "r"))
+    index = SearchIndex(spark.read.parquet(str(tmp_path / "p")), spark.read.parquet(str(tmp_path / "r")))
+    row = index.postings.where("id = '2' and field = 'content' and term = 'replica'").first()
+    assert (row["positions"], row["tf"], row["length"]) == ([0, 1], 2, 9)
+    for query in QUERIES:
+        scanned = {r["id"]: r["score"] for r in keyword.bm25(docs, query).collect()}
+        assert {r["id"]: r["score"] for r in index.bm25(query).collect()} == pytest.approx(scanned), query
+
+
+def test_later_generations_count(spark, docs):
+    """Row 2 is rewritten and row 1 is gone: scores are those of the corpus as it is now."""
+    new = spark.createDataFrame([("2", "Queue", "a queue", ["x"], "note", "c")], docs.schema)
+    gone = rows_of(docs.where("id = '1'"), 2).withColumn("gone", F.lit(True))
+    index = SearchIndex(postings_of(docs).unionByName(postings_of(new, 1)), rows_of(docs).unionByName(rows_of(new, 1)).unionByName(gone), changed=True)
+    now = docs.where("id not in ('1', '2')").unionByName(new)
+    for query in ("replica", "queue", "group OR queue"):
+        assert {r["id"]: r["score"] for r in index.bm25(query).collect()} == pytest.approx({r["id"]: r["score"] for r in keyword.bm25(now, query).collect()})
+
+
+def test_stored_weights(spark, tmp_path):
     rows = spark.createDataFrame([("a", "login session token"), ("b", "login queue drain"), ("c", "queue queue"), ("d", "")], "id string, text string")
-    from pyspark.sql import functions as F
+    counts = weights.term_counts(rows, "id", F.col("text"))
+    known = WeightIndex.vocabulary_of(counts, 4)
+    index = WeightIndex(WeightIndex.weights_of(counts, known, 4), known, 4)
+    hits = {r["id"]: r["similarity"] for r in index.similar("Login session, token unknownword").collect()}
+    assert hits["a"] == pytest.approx(1) and set(hits) == {"a", "b"} and index.similar("unknownword").count() == 0 and index.similar("").count() == 0
+
 
+def test_tfidf(spark):
+    rows = spark.createDataFrame([("a", "login session token"), ("b", "login queue drain"), ("c", "queue queue"), ("d", "")], "id string, text string")
     counts = weights.term_counts(rows, "id", F.col("text"))
     w = weights.tfidf(counts, weights.document_frequency(counts), 4)
     norms = {r["id"]: r["n"] for r in w.groupBy("id").agg(F.sum(F.col("w") * F.col("w")).alias("n")).collect()}
@@ -72,8 +97,6 @@ def test_tfidf(spark):
 
 
 def test_single_row_corpus_has_no_weights(spark):
-    from pyspark.sql import functions as F
-
     counts = weights.term_counts(spark.createDataFrame([("a", "login token")], "id string, text string"), "id", F.col("text"))
     assert weights.tfidf(counts, weights.document_frequency(counts), 1).count() == 0
 
