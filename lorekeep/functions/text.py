@@ -153,6 +153,13 @@ def observation(c: Column) -> Column:
     return F.when(F.octet_length(c).between(20, 2000), F.array_join(lines, "\n")).otherwise(F.lit(""))
 
 
+def split_fields(c: Column, *names: str) -> Column:
+    """A struct of the parts of 'a:b:c', as many as there are names; the last keeps further colons, missing parts are
+    null."""
+    parts = F.split(c, ":", len(names))
+    return F.struct(*(F.get(parts, F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
 def is_secret(key: Column) -> Column:
     """Configuration keys whose values must not be shown."""
     low = F.lower(key)

@@ -171,7 +171,7 @@ def recency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def embedding_texts(spark: SparkSession, folder: str) -> DataFrame:
-    text = embedding_input(for_embedding(F.col("title"), F.col("content"), F.col("tags")), 600, 100)
+    text = embedding_input(for_embedding(F.col("title"), F.col("content"), F.col("tags")))
     return notes(spark, folder).select("id", F.length(text).alias("n_chars"), F.md5(text).alias("digest"))
 
 
@@ -197,7 +197,8 @@ def title_word_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def exact_titles(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.exact_titles(notes(spark, folder))
+    """Titles that several notes of a category or several sessions of a project carry."""
+    return dedup.exact_titles(corpus(spark, folder).withColumn("category", F.coalesce("category", "project")))
 
 
 def similar_titles(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,7 +219,12 @@ def tag_unions(spark: SparkSession, folder: str) -> DataFrame:
 
 def sessions_merged(spark: SparkSession, folder: str) -> DataFrame:
     merged = dedup.merge_sessions(sessions(spark, folder))
-    return merged.select("id", "title", "n_reports", F.length("summary").alias("n_summary"), F.md5("what_happened").alias("digest"), "decisions")
+    listed = lambda name, *fields: F.md5(F.array_join(F.transform(name, lambda x: F.concat_ws("=", *(F.coalesce(x[f], F.lit("")) for f in fields))), "|")).alias(name)
+    return merged.select(
+        "id", "title", "date", "branch", "project", "session_id", "created", "updated", "n_reports", "tags", F.md5("summary").alias("summary"), F.md5("what_happened").alias("what_happened"),
+        "decisions", "insights", "questions", "next_steps", listed("changes", "path", "description"), listed("problems", "problem", "solution"), listed("related_notes", "id", "title", "category"),
+        listed("extra_sections", "name", "content"),
+    )
 
 
 def note_fold(spark: SparkSession, folder: str) -> DataFrame:
@@ -227,7 +233,7 @@ def note_fold(spark: SparkSession, folder: str) -> DataFrame:
 
 def changed_paths(spark: SparkSession, folder: str) -> DataFrame:
     """The changed files of each project with their descriptions in order of the sessions."""
-    rows = sessions(spark, folder).where("project is not null and created is not null").select(
+    rows = sessions(spark, folder).where("project is not null").select(
         F.col("project").alias("key"), F.struct("created", "id").alias("s"), F.posexplode("changes").alias("at", "c")
     )
     rows = rows.select("key", F.struct("s.created", "s.id", "at").alias("seq"), "c.path", "c.description").where("path is not null")
@@ -294,6 +300,43 @@ acc as (select entry_id, coalesce(e.title, '(deleted)') as title, coalesce(e.typ
 _EMBED = """(select *, concat_ws(' ', title, content, array_to_string(tags, ' ')) as t from n)"""
 
 
+def _once(c: str) -> str:
+    return f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"
+
+
+_SEPARATOR = "chr(10) || chr(10) || '--- Updated ' || u || ' ---' || chr(10)"
+_TEXT = f"""string_agg(case when {{n}} = 1 then {{c}} else {_SEPARATOR} || {{c}} end, '' order by seq) filter (where coalesce({{c}}, '') <> '')"""
+# Reports with their session (key) and their place in time (seq), merged texts and lists (m), and each list of structs.
+_MERGED = f"""k0 as (select *, coalesce(trim(session_id), '') = '' as blank, concat_ws(chr(31), 'day', coalesce(date, ''), coalesce(project, ''), coalesce(branch, '')) as day,
+    coalesce(strftime(created, '%Y-%m-%d %H:%M'), date, 'unknown') as u, row_number() over (order by created nulls first, id) as seq from s),
+  k1 as (select *, coalesce(min(case when blank then seq end) over (partition by day) < seq, false) as joins from k0),
+  k2 as (select *, min(case when not joins and not blank then seq end) over (partition by session_id) as own from k1),
+  k as (select *, case when not blank and coalesce(seq >= own, false) then 'id' || chr(31) || session_id else day end as key from k2),
+  kt as (select *, sum(case when coalesce(summary, '') <> '' then 1 else 0 end) over (partition by key order by seq) as ns,
+    sum(case when coalesce(what_happened, '') <> '' then 1 else 0 end) over (partition by key order by seq) as nw from k),
+  m0 as (select key, arg_min(id, seq) as id, arg_min(seq, seq) as first, count(*) as n_reports, max(created) as updated,
+    arg_max(title, seq) filter (where coalesce(trim(title), '') <> '') as title, {_TEXT.format(n='ns', c='summary')} as su, {_TEXT.format(n='nw', c='what_happened')} as wh,
+    list_filter(list_transform(flatten(list(coalesce(tags, []) order by seq desc)), lambda t: trim(t)), lambda t: t is not null and t <> '') as tg,
+    {', '.join(f"flatten(list(coalesce({x}, []) order by seq)) as {x}" for x in ('decisions', 'insights', 'questions', 'next_steps'))} from kt group by key),
+  m as (select m0.*, k.date, k.branch, k.project, k.session_id, k.created,
+    list_filter(tg, lambda t, i: list_position(list_transform(tg, lambda y: lower(y)), lower(t)) = i) as tags from m0 join k on k.key = m0.key and k.seq = m0.first),
+  xc as (select key, u, c, row_number() over (order by seq, i) as o from (select key, u, seq, unnest(changes) as c, generate_subscripts(changes, 1) as i from k) where c is not null),
+  c1 as (select key, c.path as path, c.description as d, min(o) as o from xc group by all),
+  c2 as (select key, path, coalesce(string_agg(d, '; ' order by o), '') as d, min(o) as o from c1 group by key, path),
+  m_ch as (select key, string_agg(coalesce(path, '') || '=' || d, '|' order by o) as ch from c2 group by key),
+  xp as (select key, c, row_number() over (order by seq, i) as o from (select key, seq, unnest(problems) as c, generate_subscripts(problems, 1) as i from k) where c is not null),
+  p1 as (select key, c.problem as problem, arg_min(coalesce(c.solution, ''), o) as solution, min(o) as o from xp group by key, c.problem),
+  m_pr as (select key, string_agg(coalesce(problem, '') || '=' || solution, '|' order by o) as pr from p1 group by key),
+  xr as (select key, c, row_number() over (order by seq, i) as o from (select key, seq, unnest(related_notes) as c, generate_subscripts(related_notes, 1) as i from k) where c is not null),
+  r1 as (select key, c, o, min(o) over (partition by key, substr(c.id, 1, 8)) as place from xr qualify row_number() over (partition by key, substr(c.id, 1, 8) order by length(c.id) desc nulls last, o) = 1),
+  m_rn as (select key, string_agg(coalesce(c.id, '') || '=' || coalesce(c.title, '') || '=' || coalesce(c.category, ''), '|' order by place) as rn from r1 group by key),
+  xe as (select key, u, c, row_number() over (order by seq, i) as o from (select key, u, seq, unnest(extra_sections) as c, generate_subscripts(extra_sections, 1) as i from k) where c is not null),
+  e1 as (select key, lower(c.name) as low, c.content as content, min(o) as o, arg_min(c.name, o) as name, arg_min(u, o) as u from xe group by key, lower(c.name), c.content),
+  e2 as (select *, row_number() over (partition by key, low order by o) as nth from e1),
+  e3 as (select key, low, arg_min(name, o) as name, string_agg(case when nth = 1 then content else {_SEPARATOR} || content end, '' order by o) as content, min(o) as o from e2 group by key, low),
+  m_es as (select key, string_agg(coalesce(name, '') || '=' || coalesce(content, ''), '|' order by o) as es from e3 group by key)"""
+
+
 def oracle_sql() -> dict[str, str]:
     c = f"with {CORPUS}"
     stop = "'(?i)error|fail|warning|passed|permission denied'"
@@ -335,7 +378,7 @@ def oracle_sql() -> dict[str, str]:
               (select count(*) from live where path not in (select path from ent where path is not null)) as n_files_without_entry,
               (select count(*) from (select distinct lower(trim(id)) as id, type from c) where id not in (select id from eid where id is not null)) as n_unindexed,
               (select count(*) from act where not exists (select 1 from eid where eid.id = act.id)) as n_orphan_vectors)
-            select *, n_entries_without_file + n_files_without_entry + n_unindexed + n_orphan_vectors = 0 and n_files = n_entries as healthy from h""",
+            select *, false as other_backend, n_entries_without_file + n_files_without_entry + n_unindexed + n_orphan_vectors = 0 and n_files = n_entries as healthy from h""",
         "graph_nodes": f"{c}, {_NODES} select * from v",
         "graph_edges": f"{c}, {_EDGES} select * from e",
         "graph_dot": rf"""{c}, {_NODES}, {_EDGES}
@@ -349,8 +392,8 @@ def oracle_sql() -> dict[str, str]:
         "previews": f"""{c}, t as (select id, trim(substr(what_happened, 1, 200)) as p, coalesce(nullif(summary, ''), 'Decisions: ' || decisions[1]) as l from s)
             select id, {_CUT.format(c='p', most=100, keep=100)} as preview, {_CUT.format(c='l', most=100, keep=97)} as line from t""",
         "recency": f"""{c} select id, round(1 + coalesce(case when {boost} < 7 then 0.2 when {boost} < 30 then 0.2 * (1 - ({boost} - 7) / 23) else 0 end, 0), 6)::double as factor from c""",
-        "embedding_texts": rf"""{c}, t as (select id, t, substr(t, 1, 600) as h, regexp_extract(substr(t, 1, 600), '(?s)^(.{{500,599}}) [^ ]*$', 1) as b from {_EMBED}),
-            u as (select id, case when length(t) <= 600 then t else coalesce(nullif(b, ''), h) end as x from t)
+        "embedding_texts": rf"""{c}, t as (select id, t, substr(t, 1, 7500) as h, regexp_extract(substr(t, 7301, 200), '(?s)^(.*) [^ ]*$', 1) as b from {_EMBED}),
+            u as (select id, case when length(t) <= 7500 then t when contains(substr(t, 7301, 200), ' ') then substr(t, 1, 7300) || b else h end as x from t)
             select id, length(x)::int as n_chars, md5(x) as digest from u""",
         "limits": rf"""{c} select id, list_filter([
               case when trim(coalesce(title, '')) = '' then 'title empty' end, case when strlen(title) > 500 then 'title too long' end,
@@ -369,7 +412,7 @@ def oracle_sql() -> dict[str, str]:
             q as (select doc_id, i, regexp_extract(part, '^([^\n]*)', 1) as section, trim(regexp_replace(part, '^[^\n]*\n?', '')) as v from p)
             select doc_id, section, length(v)::int as n_chars, md5(v) as digest from q qualify row_number() over (partition by doc_id, section order by i desc) = 1""",
         "title_word_sets": f"{c} select id, list_sort({_WORDS}) as words from n",
-        "exact_titles": f"{c} select category, title, count(*) as n, min(id) as first_id from n group by category, title having count(*) > 1",
+        "exact_titles": f"{c} select coalesce(category, project) as category, title, count(*) as n, min(id) as first_id from c group by all having count(*) > 1",
         "similar_titles": f"""{c}, k as (select category, list_sort({_WORDS}) as words, id from n),
             k2 as (select category, words, min(id) as class_id, count(*) as n_rows from k where len(words) >= 2 group by all),
             l as (select a.category, a.class_id, count(*) as n_links from k2 a join k2 b on a.category = b.category and a.class_id <> b.class_id
@@ -377,15 +420,14 @@ def oracle_sql() -> dict[str, str]:
             select category, class_id, n_rows, coalesce(n_links, 0) as n_links from k2 left join l using (category, class_id)""",
         "tag_unions": f"""{c}, t as (select id, list_filter(list_transform(coalesce(tags, []), lambda t: trim(t)), lambda t: t is not null and t <> '') as x from n)
             select id, list_filter(x, lambda t, i: list_position(list_transform(x, lambda y: lower(y)), lower(t)) = i) as tags from t""",
-        "sessions_merged": f"""{c}, k as (select *, case when trim(coalesce(session_id, '')) = '' then concat_ws(chr(31), 'day', date, project, branch) else 'id' || chr(31) || session_id end as key from s),
-            m as (select key, list(id order by created nulls first, id) as ids, list(title order by created nulls first, id) as titles, count(*) as n_reports,
-              coalesce(string_agg(nullif(summary, ''), chr(10) || chr(10) order by created nulls first, id), '') as s,
-              coalesce(string_agg(nullif(what_happened, ''), chr(10) || chr(10) order by created nulls first, id), '') as w,
-              flatten(list(coalesce(decisions, []) order by created nulls first, id)) as d from k group by key)
-            select ids[1] as id, titles[-1] as title, n_reports, length(s)::int as n_summary, md5(w) as digest,
-              list_filter(d, lambda x, i: list_position(d, x) = i) as decisions from m""",
-        "changed_paths": f"""{c}, x as (select project, created, id, unnest(changes) as ch, generate_subscripts(changes, 1) as i from s where project is not null and created is not null),
-            f as (select project, ch.path as path, ch.description as d, min(struct_pack(a := created, b := id, c := i)) as o from x where ch.path is not null group by all)
+        "sessions_merged": f"""{c}, {_MERGED}
+            select id, title, date, branch, project, session_id, created, updated, n_reports, tags, md5(coalesce(su, '')) as summary, md5(coalesce(wh, '')) as what_happened,
+              {_once('decisions')} as decisions, {_once('insights')} as insights, {_once('questions')} as questions, {_once('next_steps')} as next_steps,
+              md5(coalesce(ch, '')) as changes, md5(coalesce(pr, '')) as problems, md5(coalesce(rn, '')) as related_notes, md5(coalesce(es, '')) as extra_sections
+            from m left join m_ch using (key) left join m_pr using (key) left join m_rn using (key) left join m_es using (key)""",
+        "changed_paths": f"""{c}, x as (select project, created, id, unnest(changes) as ch, generate_subscripts(changes, 1) as i from s where project is not null),
+            y as (select project, ch.path as path, ch.description as d, row_number() over (order by created nulls first, id, i) as o from x where ch.path is not null),
+            f as (select project, path, d, min(o) as o from y group by all)
             select project, path, coalesce(string_agg(d, '; ' order by o), '') as description from f group by project, path""",
         "capture_observations": f"""with f as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, {stop})) as l
               from documents where kind = 'capture' and strlen(text) between 20 and 2000)

@@ -151,21 +151,30 @@ def without_box(c: Column) -> Column:
     return F.regexp_replace(c, r"^\[[ xX]\] ", "")
 
 
+def report_fields(s: Column) -> list[Column]:
+    """The fields of a report from its sections (section_list), all but the summary; sections without a field of their
+    own are extra sections unless blank."""
+    known = [name for names in SECTION_FIELDS.values() for name in names]
+    text = lambda field: F.coalesce(section(s, field), F.lit(""))
+    return [
+        text("what_happened").alias("what_happened"), list_items(text("decisions")).alias("decisions"), changes(text("changes")).alias("changes"),
+        problems(text("problems")).alias("problems"), list_items(text("insights")).alias("insights"), list_items(text("questions")).alias("questions"),
+        F.transform(list_items(text("next_steps")), without_box).alias("next_steps"), related_notes(text("related_notes")).alias("related_notes"),
+        F.filter(s, lambda x: ~F.lower(x["name"]).isin(known) & (x["content"] != "")).alias("extra_sections"),
+    ]
+
+
 def parse_sessions(files: DataFrame) -> DataFrame:
     """Typed session reports of (path, text); files without front matter or id are left out. Sections without a
     field of their own are kept as extra sections unless blank."""
     rows = files.withColumn("f", front_matter(F.col("text"))).where("f is not null").withColumn("s", section_list(body(F.col("text"))))
     f, s = F.col("f"), F.col("s")
-    known = [name for names in SECTION_FIELDS.values() for name in names]
     text = lambda field: F.coalesce(section(s, field), F.lit(""))
     return rows.select(
         scalar(f, "id").alias("id"), F.lit("session").alias("type"),
         *(scalar(f, k).alias(k) for k in ("title", "date", "branch", "project", "session_id")),
         items(f, "tags").alias("tags"), _time(scalar(f, "created")).alias("created"), text("summary").alias("summary"),
-        text("what_happened").alias("what_happened"), list_items(text("decisions")).alias("decisions"), changes(text("changes")).alias("changes"),
-        problems(text("problems")).alias("problems"), list_items(text("insights")).alias("insights"), list_items(text("questions")).alias("questions"),
-        F.transform(list_items(text("next_steps")), without_box).alias("next_steps"), related_notes(text("related_notes")).alias("related_notes"),
-        F.filter(s, lambda x: ~F.lower(x["name"]).isin(known) & (x["content"] != "")).alias("extra_sections"), "path",
+        *report_fields(s), "path",
     ).where("id is not null")
 
 
@@ -197,12 +206,11 @@ def import_archive(files: DataFrame, known_session_ids: DataFrame) -> DataFrame:
     part = lambda i: F.nullif(F.regexp_extract("path", ARCHIVE_NAME, i), F.lit(""))
     plain = F.regexp_extract("path", r"([^/]*)\.md$", 1)
     sections = section_list(F.when(front_matter(F.col("text")).isNull(), F.col("text")).otherwise(body(F.col("text"))))
+    text = lambda field: F.coalesce(section(F.col("s"), field), F.lit(""))
     rows = files.withColumn("s", sections).select(
         part(1).alias("date"), F.coalesce(part(2), F.lit("unknown")).alias("branch"),
         F.coalesce(part(3), F.concat(F.lit("imported-"), F.substring(F.md5("path"), 1, 8))).alias("session_id"),
         F.regexp_replace(F.coalesce(part(4), plain), "-", " ").alias("title"),
-        F.when(F.size("s") == 0, F.col("text")).otherwise(F.coalesce(section(F.col("s"), "summary"), F.lit(""))).alias("summary"),
-        *(F.coalesce(section(F.col("s"), k), F.lit("")).alias(k) for k in ("what_happened",)),
-        list_items(section(F.col("s"), "decisions")).alias("decisions"), list_items(section(F.col("s"), "insights")).alias("insights"),
+        F.when(F.size("s") == 0, F.btrim(F.col("text"), F.lit(" \n\t\r"))).otherwise(text("summary")).alias("summary"), *report_fields(F.col("s")),
     )
     return rows.join(known_session_ids.select("session_id"), "session_id", "left_anti")

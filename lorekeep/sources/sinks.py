@@ -86,6 +86,13 @@ def write_files(rows: DataFrame, root: str) -> None:
     rows.select("path", "text").foreachPartition(write)
 
 
+def count_files(paths: DataFrame) -> DataFrame:
+    """(folder, n_files): Markdown files (filepath) by top folder, '' for none; names that begin with '._' do not count."""
+    kept = paths.where(F.col("filepath").endswith(".md") & ~F.regexp_extract("filepath", r"([^/]*)$", 1).startswith("._"))
+    folder = F.when(F.contains("filepath", F.lit("/")), F.substring_index("filepath", "/", 1)).otherwise("")
+    return kept.groupBy(folder.alias("folder")).agg(F.count("*").alias("n_files"))
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
