@@ -119,6 +119,8 @@ def oracle_sql() -> dict[str, str]:
             per as (select tag, count(*) as c from t group by tag),
             pairs as (select a.tag as tag_a, b.tag as tag_b, count(*) as n_ab
               from t a join t b on a.source = b.source and a.id = b.id and a.tag < b.tag group by all)"""
+    windows = """w as (select doc_id, i, hash(substr(text, i, 240)) as h, hash('x' || substr(text, i, 240)) as g
+              from (select doc_id, text, unnest(range(1, length(text) - 238)) as i from documents where length(text) >= 240))"""
     usable = f"""latest as (
               select {key('doc_id')} as doc_id, backend, model, dim, vector, created_at from vectors where {key('doc_id')} is not null
               qualify row_number() over (partition by {key('doc_id')}, backend, model order by created_at desc) = 1),
@@ -138,8 +140,10 @@ def oracle_sql() -> dict[str, str]:
             where pa.tag = tag_a and pb.tag = tag_b""",
         "p4_found": f"""with {tagged} select tag_a, tag_b from pairs, n, per pa, per pb
             where pa.tag = tag_a and pb.tag = tag_b and n_ab >= 5 and n_ab * n.n >= 3 * pa.c * pb.c""",
-        "p8_found": """with w as (
-              select distinct doc_id, hash(substr(text, i, 240)) as h, hash('x' || substr(text, i, 240)) as g
-              from (select doc_id, text, unnest(range(1, length(text) - 238)) as i from documents where length(text) >= 240))
+        "p8_shares": f"""with {windows}, shared as (select h, g from w group by h, g having count(distinct doc_id) > 1),
+            x as (select doc_id, i - lag(i) over (partition by doc_id order by i) as gap from w semi join shared using (h, g)),
+            y as (select doc_id, sum(least(240, coalesce(gap, 240)))::bigint as n_shared from x group by doc_id)
+            select doc_id, length(text) as n_chars, n_shared, n_shared / length(text) as share from y join documents using (doc_id)""",
+        "p8_found": f"""with {windows}
             select distinct a.doc_id as doc_a, b.doc_id as doc_b from w a join w b on a.h = b.h and a.g = b.g and a.doc_id < b.doc_id""",
     }
