@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,8 +49,38 @@ class HashEmbedder(Embedder):
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
 
-def build_embedder(backend: str, **options) -> Embedder:
-    kinds = {"hash": HashEmbedder}
+class TfidfEmbedder(Embedder):
+    """Dense TF-IDF vectors over a vocabulary of bounded size: (1 + ln tf) * ln((N + 1) / (df + 1)), scaled to length 1.
+    Texts without a known term have the zero vector. Large vocabularies stay sparse (operators.index)."""
+
+    name = model = "tfidf"
+
+    def __init__(self, vocabulary: dict[str, int], n_docs: int, most_terms: int = 50_000):
+        if len(vocabulary) > most_terms:
+            raise ValueError(f"more than {most_terms} terms; use the sparse index")
+        self.places = {term: i for i, term in enumerate(sorted(vocabulary))}
+        self.idf = np.array([np.log((n_docs + 1) / (vocabulary[t] + 1)) for t in self.places])
+        self.dimensions = len(self.places)
+
+    @classmethod
+    def of(cls, vocabulary: DataFrame, n_docs: int, most_terms: int = 50_000) -> TfidfEmbedder:
+        """From a vocabulary (term, df)."""
+        return cls({r["term"]: r["df"] for r in vocabulary.limit(most_terms + 1).collect()}, n_docs, most_terms)
+
+    def embed(self, texts: list[str], kind: str = "document") -> list[list[float]]:
+        import regex
+
+        out = np.zeros((len(texts), self.dimensions))
+        for row, text in zip(out, texts, strict=True):
+            for term, n in Counter(regex.split(r"[^\p{L}\p{Nd}]+", text.lower())).items():
+                if term in self.places:
+                    row[self.places[term]] = (1 + np.log(n)) * self.idf[self.places[term]]
+        return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
+
+
+def build_embedder(backend: str = "tfidf", **options) -> Embedder:
+    """The embedder of a backend; 'tfidf', the default, takes vocabulary and n_docs, 'hash' dimensions."""
+    kinds = {"tfidf": TfidfEmbedder, "hash": HashEmbedder}
     if backend not in kinds:
         raise ValueError(f"unknown backend {backend!r}; there are {sorted(kinds)}")
     return kinds[backend](**options)

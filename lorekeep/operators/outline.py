@@ -2,52 +2,58 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import language_of
 
-# By language and in this order, the kind of symbol, the pattern of its line, and its name, where
-# $n stands for the n-th group. The first pattern that fits a line counts.
-PATTERNS = {
-    "go": [
-        ("method", r"^func\s+\((\w+)\s+\*?(\w+)\)\s+(\w+)\s*\(", "($1 $2) $3()"),
-        ("function", r"^func\s+(\w+)\s*\(", "$1()"),
-        ("struct", r"^type\s+(\w+)\s+struct\s*\{", "type $1 struct"),
-        ("interface", r"^type\s+(\w+)\s+interface\s*\{", "type $1 interface"),
-        ("type", r"^type\s+(\w+)\s+", "type $1"),
-        ("var", r"^var\s+(\w+)\s+", "var $1"),
-        ("command", r"^\s+(\w+)\s*=\s*&cobra\.Command", "command $1"),
-    ],
-    "python": [
-        ("class", r"^class\s+(\w+)[\s(:]", "class $1"),
-        ("function", r"^\s+async\s+def\s+(\w+)\s*\(", "async method $1()"),
-        ("function", r"^async\s+def\s+(\w+)\s*\(", "async $1()"),
-        ("function", r"^\s+def\s+(\w+)\s*\(", "method $1()"),
-        ("function", r"^def\s+(\w+)\s*\(", "$1()"),
-        ("var", r"^(\w+)\s*=\s*", "$1"),
-    ],
-    "typescript": [
-        ("class", r"^export\s+(?:default\s+)?class\s+(\w+)", "class $1"),
-        ("function", r"^export\s+(?:default\s+)?function\s+(\w+)\s*[(<]", "$1()"),
-        ("var", r"^export\s+(?:default\s+)?(?:const|let)\s+(\w+)", "$1"),
-        ("type", r"^export\s+(?:interface|type)\s+(\w+)", "type $1"),
-        ("function", r"^(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[^=])*=>", "$1()"),
-        ("function", r"^function\s+(\w+)\s*[(<]", "$1()"),
-        ("class", r"^class\s+(\w+)", "class $1"),
-        ("interface", r"^interface\s+(\w+)", "interface $1"),
-    ],
-    "rust": [
-        ("function", r"^pub\s+fn\s+(\w+)", "pub fn $1()"),
-        ("function", r"^fn\s+(\w+)", "fn $1()"),
-        ("struct", r"^pub\s+struct\s+(\w+)", "pub struct $1"),
-        ("struct", r"^struct\s+(\w+)", "struct $1"),
-        ("type", r"^pub\s+enum\s+(\w+)", "pub enum $1"),
-        ("impl", r"^impl(?:<[^>]+>)?\s+(\w+)", "impl $1"),
-        ("interface", r"^pub\s+trait\s+(\w+)", "pub trait $1"),
-        ("interface", r"^trait\s+(\w+)", "trait $1"),
-    ],
-}
+# How the languages declare things. '@' is a name, ' ' blanks, '~' blanks or nothing, [x] an optional
+# word, {a|b} one of some words, <ab> one of some characters, '?' what may be missing.
+# Kinds with the shape of their line, and what is shown for the names $1, $2, ...
+_GO = [
+    ("method", "func (@ *?@) @~(", "($1 $2) $3()"), ("function", "func @~(", "$1()"), ("struct", "type @ struct~{", "type $1 struct"),
+    ("interface", "type @ interface~{", "type $1 interface"), ("type", "type @ ", "type $1"), ("var", "var @ ", "var $1"),
+    ("command", " @~=~&cobra.Command", "command $1"),
+]
+_PYTHON_FUNCTIONS = [
+    ("function", f"{indent}{word}def @~(", f"{word}{'method ' if indent else ''}$1()") for word in ("async ", "") for indent in (" ", "")
+]
+_EXPORTED = [("class", "class @", "class $1"), ("function", "function @~<(<>", "$1()"), ("var", "{const|let} @", "$1")]
+_PLAIN = [("function", "function @~<(<>", "$1()"), ("class", "class @", "class $1"), ("interface", "interface @", "interface $1")]
+_RUST = {"function": "fn", "struct": "struct", "interface": "trait"}
+ARROW = r"^(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s+)?(?:\([^)]*\)|[^=])*=>"
+
+
+def _pattern(shape: str) -> str:
+    """The pattern of a line that begins like the shape."""
+    marks = {"@": r"(\w+)", " ": r"\s+", "~": r"\s*", "?": "?"}
+    out = "^"
+    for part in re.findall(r"\[[^\]]*\]|\{[^}]*\|[^}]*\}|<[^>]+>|.", shape):
+        if len(part) > 1:
+            inner = part[1:-1]
+            out += {"[": rf"(?:{inner}\s+)?", "{": f"(?:{inner})", "<": f"[{inner}]"}[part[0]]
+        else:
+            out += marks.get(part) or re.escape(part)
+    return out
+
+
+def _patterns() -> dict[str, list[tuple[str, str, str]]]:
+    """By language and in order (kind, pattern, name): the first pattern that fits a line counts."""
+    shaped = lambda rows: [(kind, _pattern(shape), shown) for kind, shape, shown in rows]
+    exported = [(kind, f"export [default]{shape}", shown) for kind, shape, shown in _EXPORTED] + [("type", "export {interface|type} @", "type $1")]
+    rust = [(kind, f"{pub}{word} @", f"{pub}{word} $1" + "()" * (word == "fn")) for kind, word in _RUST.items() for pub in ("pub ", "")]
+    python = [("class", r"^class\s+(\w+)[\s(:]", "class $1"), *shaped(_PYTHON_FUNCTIONS), *shaped([("var", "@~=~", "$1")])]
+    return {
+        "go": shaped(_GO),
+        "python": python,
+        "typescript": [*shaped(exported), ("function", ARROW, "$1()"), *shaped(_PLAIN)],
+        "rust": [*shaped(rust), *shaped([("type", "pub enum @", "pub enum $1")]), ("impl", r"^impl(?:<[^>]+>)?\s+(\w+)", "impl $1")],
+    }
+
+
+PATTERNS = _patterns()
 
 
 def outline(files: DataFrame) -> DataFrame:

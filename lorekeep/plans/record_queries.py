@@ -252,6 +252,14 @@ def capture_window(spark: SparkSession, folder: str) -> DataFrame:
     return capture.first_in_window(rows, ["user_id", "event_type"]).select("event_id", "user_id", "event_type")
 
 
+def captured_once(spark: SparkSession, folder: str) -> DataFrame:
+    """Observations of captured documents without one that begins alike in the five minutes before."""
+    docs = table(spark, folder, "documents").where("kind = 'capture' and created is not null")
+    rows = docs.select(F.col("created").alias("at"), "doc_id", observation(F.col("text")).alias("content")).where("content <> ''")
+    rows = rows.select("at", "doc_id", F.substring("content", 1, 12).alias("head"))
+    return capture.first_in_window(rows, ["head"]).select("doc_id", "head")
+
+
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     """Changed files by programming language."""
     rows = sessions(spark, folder).select(F.explode("changes").alias("c")).where("c.path is not null")
@@ -268,7 +276,7 @@ QUERIES = (
     sessions_list, active_sessions, latest_vectors, id_prefix, title_contains, entries_without_file, files_without_entry, orphan_vectors,
     unindexed, repaired_entries, health_report, graph_nodes, graph_edges, graph_dot, context, slugs, previews, recency, embedding_texts,
     limits, report_checks, report_sections, title_word_sets, exact_titles, similar_titles, tag_unions, sessions_merged, note_fold,
-    changed_paths, capture_observations, capture_window, languages, backend_pairs,
+    changed_paths, capture_observations, captured_once, capture_window, languages, backend_pairs,
 )
 
 
@@ -432,6 +440,11 @@ def oracle_sql() -> dict[str, str]:
         "capture_observations": f"""with f as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, {stop})) as l
               from documents where kind = 'capture' and strlen(text) between 20 and 2000)
             select doc_id, len(l)::int as n_lines, md5(array_to_string(l, chr(10))) as digest from f where array_to_string(l, chr(10)) <> ''""",
+        "captured_once": f"""with f as (select doc_id, created, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: regexp_matches(x, {stop})) as l
+              from documents where kind = 'capture' and created is not null and strlen(text) between 20 and 2000),
+            h as (select doc_id, created, substr(array_to_string(l, chr(10)), 1, 12) as head from f where array_to_string(l, chr(10)) <> ''),
+            w as (select *, lag(created) over (partition by head order by created, doc_id) as p from h)
+            select doc_id, head from w where p is null or epoch_us(created) - epoch_us(p) >= 300000000""",
         "capture_window": """with l as (select *, lag(ts) over (partition by user_id, event_type order by ts, event_id) as p from events)
             select event_id, user_id, event_type from l where p is null or epoch_us(ts) - epoch_us(p) >= 300000000""",
         "languages": f"""{c}, p as (select lower(regexp_extract(ch.path, '\\.([A-Za-z0-9]+)$', 1)) as e from (select unnest(changes) as ch from s) where ch.path is not null)

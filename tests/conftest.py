@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from lorekeep.session import build_session
+    from lorekeep.session import build_session, clear_scratch
 
     session = build_session(
         "tests",
@@ -22,6 +22,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

@@ -200,6 +200,22 @@ def test_embedders(spark):
     assert [r[0] for r in blobs.select(embed.from_bytes(F.col("b"))).collect()] == [[1.0, 2.0], None]
 
 
+def test_dense_and_sparse_weights_agree(spark):
+    from lorekeep.operators import weights
+    from lorekeep.operators.index import WeightIndex
+
+    docs = spark.createDataFrame([("a", "Login session, token token"), ("b", "login queue drain"), ("c", "queue queue the"), ("d", "")], "id string, text string")
+    counts = weights.term_counts(docs, "id", F.col("text"))
+    known = WeightIndex.vocabulary_of(counts, 4)
+    sparse = {r["id"]: r["similarity"] for r in WeightIndex(WeightIndex.weights_of(counts, known, 4), known, 4).similar("login token drain").collect()}
+    e = embed.build_embedder(vocabulary={r["term"]: r["df"] for r in known.collect()}, n_docs=4)
+    rows = embed.embedded(docs, "id", F.col("text"), e, "t")
+    dense = {r["doc_id"]: r["similarity"] for r in weights.nearest_to(rows, e.embed(["login token drain"], "query")[0]).collect()}
+    assert dense == pytest.approx(sparse, rel=1e-5) and set(dense) == {"a", "b"} and e.name == embed.TfidfEmbedder.of(known, 4).name == "tfidf"
+    with pytest.raises(ValueError):
+        embed.TfidfEmbedder.of(known, 4, most_terms=2)
+
+
 def test_failing_embedder_is_loud(spark):
     class Failing(embed.HashEmbedder):
         def embed(self, texts, kind="document"):
