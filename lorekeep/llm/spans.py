@@ -447,6 +447,7 @@ class SharedSpans:
         common = spark.sparkContext.broadcast(np.sort(often.column("hash").to_numpy().view(np.uint64)))
         repeats = self.anchors = cut(
             texts.mapInArrow(_anchor_blobs(least, n_buckets, common), "bucket long, docs binary, counts binary, low binary, high binary, position binary")
+            .repartition(min(n_buckets, 10_000), "bucket")  # as many tasks as there are buckets, whatever the session's number
             .groupBy("bucket")
             .applyInArrow(_repeats, _REPEATS),
             "anchors",
