@@ -15,20 +15,18 @@ def fuse(keyword: DataFrame, semantic: DataFrame, limit: int = 20) -> DataFrame:
 
     Each side is scaled to 0..1 by its own least and greatest score (a side of equal scores becomes 0), a row
     missing on one side adds 0 for it. If one side is empty the other comes out with its raw scores. Both sides
-    are top lists of bounded length, so their extremes are taken by one small aggregate each.
+    are top lists of bounded length; each is computed once, and its extremes are two numbers.
     """
-    k = cut(keyword.select("id", F.col("score").alias("k")), "keyword")  # each side is read twice below
+    k = cut(keyword.select("id", F.col("score").alias("k")), "keyword")
     s = cut(semantic.select("id", F.col("score").alias("s")), "semantic")
-    ends = lambda df, c: df.agg(F.min(c).alias(f"{c}_low"), F.max(c).alias(f"{c}_high"), F.count("*").alias(f"{c}_n"))
-    both = k.join(s, "id", "full_outer").join(F.broadcast(ends(k, "k")), how="cross").join(F.broadcast(ends(s, "s")), how="cross")
+    ends = {c: df.agg(F.min(c).alias("low"), F.max(c).alias("high")).first() for df, c in ((k, "k"), (s, "s"))}
 
     def scaled(c: str) -> Column:
-        width = F.col(f"{c}_high") - F.col(f"{c}_low")
-        return F.coalesce((F.col(c) - F.col(f"{c}_low")) / F.when(width > 0, width).otherwise(1.0), F.lit(0.0))
-
-    score = (
-        F.when(F.col("k_n") == 0, F.col("s"))
-        .when(F.col("s_n") == 0, F.col("k"))
-        .otherwise(KEYWORD_WEIGHT * scaled("k") + SEMANTIC_WEIGHT * scaled("s"))
-    )
-    return both.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+        low, high = ends[c]
+        return F.coalesce((F.col(c) - F.lit(low)) / F.lit(high - low or 1.0), F.lit(0.0))
+
+    if ends["k"].low is None or ends["s"].low is None:
+        score = F.coalesce("k", "s")
+    else:
+        score = KEYWORD_WEIGHT * scaled("k") + SEMANTIC_WEIGHT * scaled("s")
+    return k.join(s, "id", "full_outer").select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(limit)

@@ -24,11 +24,19 @@ def _state(spark: SparkSession, folder: str, *names: str) -> tuple:
     return (spark.sparkContext.applicationId, *sorted(found))
 
 
+def _is_there(stored: DataFrame) -> bool:
+    """Whether the files of a scratch table still exist; its folder may have been cleared meanwhile."""
+    spark = stored.sparkSession
+    files = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f) for f in stored.inputFiles()[:1]]
+    return all(f.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(f) for f in files)
+
+
 def _kept(kind: str, spark: SparkSession, folder: str, build):
     key = (kind, _state(spark, folder, "notes", "sessions"))
-    if key not in _built:
-        _built[key] = build(corpus(spark, folder))
-    return _built[key]
+    index = _built.get(key)
+    if index is None or not _is_there(index.postings if isinstance(index, SearchIndex) else index.weights):
+        index = _built[key] = build(corpus(spark, folder))
+    return index
 
 
 def search_index(spark: SparkSession, folder: str) -> SearchIndex:

@@ -228,7 +228,7 @@ def sessions_merged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def note_fold(spark: SparkSession, folder: str) -> DataFrame:
-    return dedup.fold_notes(notes(spark, folder))
+    return dedup.fold_notes(notes(spark, folder)).withColumnRenamed("into", "into_id")
 
 
 def changed_paths(spark: SparkSession, folder: str) -> DataFrame:
@@ -433,6 +433,15 @@ def oracle_sql() -> dict[str, str]:
               {_once('decisions')} as decisions, {_once('insights')} as insights, {_once('questions')} as questions, {_once('next_steps')} as next_steps,
               md5(coalesce(ch, '')) as changes, md5(coalesce(pr, '')) as problems, md5(coalesce(rn, '')) as related_notes, md5(coalesce(es, '')) as extra_sections
             from m left join m_ch using (key) left join m_pr using (key) left join m_rn using (key) left join m_es using (key)""",
+        "note_fold": f"""with recursive {CORPUS}, r as (select id, category, coalesce(title, '') as title, {_WORDS} as words,
+              row_number() over (partition by category order by created nulls first, id) as k from n),
+            f as (select distinct category, 0::bigint as k, []::struct(id varchar, title varchar, words varchar[])[] as kept, null::varchar as id, null::varchar as into_id from n
+              union all select category, k, case when t is null then list_append(kept, struct_pack(id := id, title := title, words := words)) else kept end, id, coalesce(t, id)
+              from (select *, case when len(same) > 0 then same[1].id when mx >= 0.5 then kept[list_position(ov, mx)].id end as t
+                from (select *, list_max(ov) as mx from (select r.category, r.k, f.kept, r.id, r.title, r.words, list_filter(f.kept, lambda x: x.title = r.title) as same,
+                  list_transform(f.kept, lambda x: case when len(x.words) >= 2 and len(r.words) >= 2 then len(list_intersect(x.words, r.words)) / least(len(x.words), len(r.words)) else 0 end) as ov
+                  from f join r on r.category is not distinct from f.category and r.k = f.k + 1))))
+            select id, into_id, case when id = into_id then 'created' else 'merged' end as how from f where id is not null""",
         "changed_paths": f"""{c}, x as (select project, created, id, unnest(changes) as ch, generate_subscripts(changes, 1) as i from s where project is not null),
             y as (select project, ch.path as path, ch.description as d, row_number() over (order by created nulls first, id, i) as o from x where ch.path is not null),
             f as (select project, path, d, min(o) as o from y group by all)

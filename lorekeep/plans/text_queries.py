@@ -240,6 +240,11 @@ def index_terms(spark: SparkSession, folder: str) -> DataFrame:
     return search_index(spark, folder).postings.groupBy("term", "field").agg(F.count("*").alias("n_rows"), F.sum("tf").alias("n"), F.sum(F.size("positions")).alias("n_places"))
 
 
+def index_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """What the stored term weights hold of each term."""
+    return weight_index(spark, folder).weights.groupBy("term").agg(F.count("*").alias("n_rows"), F.round(F.max("w"), 4).alias("largest"))
+
+
 def weights_added(spark: SparkSession, folder: str) -> DataFrame:
     """Weights of sessions by the vocabulary of the notes: rows added to an index without building it anew."""
     n = notes(spark, folder)
@@ -265,7 +270,7 @@ QUERIES = (
     notes_round_trip, sessions_round_trip, document_notes, archive_imports, list_item_counts, files_by_folder, json_round_trip, store_round_trip,
     note_updates, title_overlaps, title_overlap_with_category, sessions_of_month, masked_settings, split_flags, notes_of_sessions, categories_by_size,
     notes_by_category, notes_list, stats_overview, outline_symbols, outline_counts, hook_observations, note_lookup, vectors_truncated, vectors_migrated,
-    knn_backend, index_terms, weights_added, hybrid_faceted,
+    knn_backend, index_terms, index_weights, weights_added, hybrid_faceted,
 )
 
 
@@ -407,6 +412,7 @@ def oracle_sql() -> dict[str, str]:
         "index_terms": f"""{c}, w as (select id, unnest(['title', 'content', 'tags']) as field, unnest([{_tokens('title')}, {_tokens('content')}, {_tokens("array_to_string(tags, ' ')")}]) as t from c),
             x as (select id, field, unnest(t) as term from w)
             select term, field, count(distinct id) as n_rows, count(*) as n, count(*) as n_places from x group by all""",
+        "index_weights": f"with {_SEMANTIC} select term, count(*) as n_rows, round(max(w), 4) as largest from tfidf group by term",
         "weights_added": f"""{c}, counts as (select id, term, count(*) as tf from (select id, unnest({_terms_sql("concat_ws(' ', title, content)")}) as term from n) group by all),
             df as (select term, count(*) as df from counts group by term), total as (select count(*) as n from n),
             vocab as (select df.* from df, total where df <= case when floor(0.95 * n) < 1 then n else floor(0.95 * n) end),
