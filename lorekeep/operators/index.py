@@ -18,23 +18,31 @@ from lorekeep.operators.keyword import FIELDS, Query, combined
 META = ("type", "category", "title", "tags", "created", "updated", "date", "branch", "project", "session_id")
 
 
-def rows_of(docs: DataFrame, generation: int = 0) -> DataFrame:
-    """(id, generation, gone, length, ...): what is known of each row besides its text; length is in words."""
-    length = sum((n_words(_form(f)) for f in FIELDS[1:]), n_words(_form(FIELDS[0])))
-    return docs.select("id", F.lit(generation).alias("generation"), F.lit(False).alias("gone"), length.cast("long").alias("length"), *(c for c in META if c in docs.columns))
+def formed(docs: DataFrame) -> DataFrame:
+    """docs as rows_of and postings_of need them: the search forms of the fields and the length in words beside what
+    else is known of a row. Cut it where both are taken, so that texts are folded once."""
+    if f"form_{FIELDS[0]}" in docs.columns:
+        return docs
+    forms = docs.select("id", *(c for c in META if c in docs.columns), *(_form(f).alias(f"form_{f}") for f in FIELDS))
+    return forms.withColumn("length", sum((n_words(F.col(f"form_{f}")) for f in FIELDS[1:]), n_words(F.col(f"form_{FIELDS[0]}"))).cast("long"))
 
 
 def _form(field: str) -> Column:
     return search_form(F.array_join(field, " ") if field == "tags" else F.col(field))
 
 
+def rows_of(docs: DataFrame, generation: int = 0) -> DataFrame:
+    """(id, generation, gone, length, ...): what is known of each row besides its text; length is in words."""
+    known = [c for c in META if c in docs.columns]
+    return formed(docs).select("id", F.lit(generation).alias("generation"), F.lit(False).alias("gone"), "length", *known)
+
+
 def postings_of(docs: DataFrame, generation: int = 0) -> DataFrame:
     """(term, id, generation, field, length, tf, positions), range-partitioned and sorted by term: one exchange of the
     words serves the grouping and the order. length is that of the whole row in words."""
-    length = sum((n_words(_form(f)) for f in FIELDS[1:]), n_words(_form(FIELDS[0])))
-    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _form(f).alias("text")) for f in FIELDS]))
-    words = docs.select("id", length.cast("long").alias("length"), fields.alias("f")).where(F.trim("f.text") != "")
-    words = words.select("id", "length", "f.field", F.posexplode(F.split(F.trim("f.text"), " ")).alias("at", "term"))
+    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.trim(f"form_{f}").alias("text")) for f in FIELDS]))
+    words = formed(docs).select("id", "length", fields.alias("f")).where("f.text <> ''")
+    words = words.select("id", "length", "f.field", F.posexplode(F.split("f.text", " ")).alias("at", "term"))
     grouped = words.repartitionByRange("term", "id").groupBy("term", "id", "field").agg(
         F.first("length").alias("length"), F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("positions")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorekeep.operators import weights
-from lorekeep.operators.index import SearchIndex, WeightIndex, postings_of, rows_of
+from lorekeep.operators.index import SearchIndex, WeightIndex, formed, postings_of, rows_of
 from lorekeep.session import cut
 from lorekeep.sources.corpus import corpus
 
@@ -40,7 +40,11 @@ def _kept(kind: str, spark: SparkSession, folder: str, build):
 
 
 def search_index(spark: SparkSession, folder: str) -> SearchIndex:
-    return _kept("words", spark, folder, lambda docs: SearchIndex(cut(postings_of(docs), "postings"), cut(rows_of(docs), "rows"), docs))
+    def build(docs: DataFrame) -> SearchIndex:
+        forms = cut(formed(docs), "forms")
+        return SearchIndex(cut(postings_of(forms), "postings"), cut(rows_of(forms), "rows"), docs)
+
+    return _kept("words", spark, folder, build)
 
 
 def weight_index(spark: SparkSession, folder: str) -> WeightIndex:
