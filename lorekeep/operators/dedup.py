@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import id8, title_words
+from lorekeep.operators.overlap import overlapping
 from lorekeep.session import cut
 
 LEAST_OVERLAP = 0.5
@@ -27,7 +28,12 @@ def title_classes(docs: DataFrame) -> DataFrame:
 
 def similar_titles(docs: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
     """(category, class_a, class_b, overlap) of classes whose shared words are at least `least` of the smaller set."""
-    return similar_classes(title_classes(docs), least)
+    return overlapping(_sets(cut(title_classes(docs), "classes")), least)
+
+
+def _sets(classes: DataFrame) -> DataFrame:
+    """Classes that can be similar to others, as `overlap` takes them."""
+    return classes.where("category is not null").select("category", F.col("class_id").alias("key"), "words", F.lit(0).alias("flags"))
 
 
 def similar_classes(classes: DataFrame, least: float = LEAST_OVERLAP, among: Column | None = None) -> DataFrame:
