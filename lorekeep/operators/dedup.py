@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import id8, title_words
-from lorekeep.operators.overlap import overlapping
+from lorekeep.operators.overlap import overlap_counts, overlapping
 from lorekeep.session import cut
 
 LEAST_OVERLAP = 0.5
@@ -31,6 +31,13 @@ def similar_titles(docs: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
     return overlapping(_sets(cut(title_classes(docs), "classes")), least)
 
 
+def similar_title_counts(docs: DataFrame, least: float = LEAST_OVERLAP) -> DataFrame:
+    """(category, class_id, n, n_links): all title classes and to how many others each is similar, without their pairs."""
+    classes = cut(title_classes(docs), "classes")
+    links = overlap_counts(_sets(classes), least).select(F.col("key").alias("class_id"), F.col("n").alias("n_links"))
+    return classes.select("category", "class_id", "n").join(links, "class_id", "left").fillna(0, ["n_links"]).select("category", "class_id", "n", "n_links")
+
+
 def _sets(classes: DataFrame) -> DataFrame:
     """Classes that can be similar to others, as `overlap` takes them."""
     return classes.where("category is not null").select("category", F.col("class_id").alias("key"), "words", F.lit(0).alias("flags"))

@@ -203,12 +203,7 @@ def exact_titles(spark: SparkSession, folder: str) -> DataFrame:
 
 def similar_titles(spark: SparkSession, folder: str) -> DataFrame:
     """For each class of equal titles how many other classes of its category have a similar title."""
-    n = notes(spark, folder)
-    pairs = dedup.similar_titles(n)
-    ends = pairs.select("category", F.explode(F.array("class_a", "class_b")).alias("class_id"))
-    links = ends.groupBy("category", "class_id").agg(F.count("*").alias("n_links"))
-    classes = dedup.title_classes(n).select("category", "class_id", F.col("n").alias("n_rows"))
-    return classes.join(links, ["category", "class_id"], "left").fillna(0, ["n_links"])
+    return dedup.similar_title_counts(notes(spark, folder)).withColumnRenamed("n", "n_rows")
 
 
 def tag_unions(spark: SparkSession, folder: str) -> DataFrame:

@@ -44,3 +44,20 @@ def test_candidates_are_not_shuffled(spark):
     plan = pairs._jdf.queryExecution().executedPlan()
     names = plan.toString()
     assert "SortMergeJoin" not in names and "BroadcastHashJoin" not in names and names.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("limits", [{}, {"most_in_cell": 5, "most_in_task": 60, "most_ranked": 10}])
+def test_counts_equal_all_pairs(spark, limits):
+    rows = random_sets(2)
+    want = {}
+    for _, a, b in brute(rows, 0.5):
+        want[a], want[b] = want.get(a, 0) + 1, want.get(b, 0) + 1
+    assert {r["key"]: r["n"] for r in overlap.overlap_counts(spark.createDataFrame(rows, SETS), 0.5, **limits).collect()} == want
+
+
+def test_title_counts_without_pairs(spark):
+    """No pair is a row of any stage; classes without category or partner count 0."""
+    rows = [("1", "c", "alpha bravo"), ("2", "c", "Bravo delta"), ("3", "c", "alpha bravo"), ("4", None, "alpha bravo"), ("5", "c", "one two"), ("6", "c", "x")]
+    found = dedup.similar_title_counts(spark.createDataFrame(rows, "id string, category string, title string"))
+    assert {(r["category"], r["class_id"], r["n"], r["n_links"]) for r in found.collect()} == {("c", "1", 2, 1), ("c", "2", 1, 1), (None, "4", 1, 0), ("c", "5", 1, 0)}
+    assert "class_a" not in found._jdf.queryExecution().executedPlan().toString()
