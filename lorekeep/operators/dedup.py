@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import id8, title_words
-from lorekeep.operators.overlap import overlap_counts, overlapping
+from lorekeep.operators.overlap import best_of, overlap_counts, overlapping
 from lorekeep.session import cut
 
 LEAST_OVERLAP = 0.5
@@ -43,36 +43,6 @@ def _sets(classes: DataFrame) -> DataFrame:
     return classes.where("category is not null").select("category", F.col("class_id").alias("key"), "words", F.lit(0).alias("flags"))
 
 
-def similar_classes(classes: DataFrame, least: float = LEAST_OVERLAP, among: Column | None = None) -> DataFrame:
-    """similar_titles of classes (category, class_id, words); with `among`, a condition on classes, at least one of
-    the two must fulfil it.
-
-    Prefix filter: of its n words, from rare to frequent, the smaller set must share one among the first
-    n - ceil(least * n) + 1, or it misses too many. Only those are joined with the words of larger sets, so a word
-    that is in most titles hardly ever makes candidates.
-    """
-    classes = classes.select("category", "class_id", "words", (F.lit(True) if among is None else among).alias("asked"))
-    words = classes.select("category", "class_id", "asked", F.size("words").alias("size"), F.explode("words").alias("word"))
-    counts = words.groupBy("category", "word").agg(F.count("*").alias("uses"))
-    ranked = words.join(counts, ["category", "word"]).withColumn(
-        "place", F.row_number().over(W.partitionBy("category", "class_id").orderBy("uses", "word"))
-    )
-    few = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * least) + 1)
-    side = lambda df, name: df.select("category", "word", F.col("class_id").alias(name), F.col("size").alias(f"{name}_size"), F.col("asked").alias(f"{name}_asked"))
-    candidates = (
-        side(few, "small").join(side(words, "large"), ["category", "word"])
-        .where((F.col("small_size") < F.col("large_size")) | (F.col("small_size") == F.col("large_size")) & (F.col("small") != F.col("large")))
-        .where(F.col("small_asked") | F.col("large_asked"))
-        .select("category", F.least("small", "large").alias("class_a"), F.greatest("small", "large").alias("class_b"))
-        .distinct()
-    )
-    named = lambda x: classes.select(F.col("category"), F.col("class_id").alias(f"class_{x}"), F.col("words").alias(f"words_{x}"))
-    pairs = candidates.join(named("a"), ["category", "class_a"]).join(named("b"), ["category", "class_b"])
-    shared = F.size(F.array_intersect("words_a", "words_b"))
-    overlap = shared / F.least(F.size("words_a"), F.size("words_b"))
-    return pairs.select("category", "class_a", "class_b", overlap.alias("overlap")).where(F.col("overlap") >= least)
-
-
 def tag_union(old: Column, new: Column) -> Column:
     """Tags of both, trimmed, blanks dropped, the first spelling of each kept, old ones first."""
     tags = F.filter(F.transform(F.concat(F.coalesce(old, F.array()), F.coalesce(new, F.array())), lambda t: F.trim(t)), lambda t: t != "")
@@ -239,61 +209,101 @@ def merge_sessions(sessions: DataFrame) -> DataFrame:
     return merged
 
 
-def fold_notes(notes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def _fold_key(new: Column, created: Column, id: Column) -> Column:
+    """A string that sorts as (new, created, id), nulls first: a digit, nineteen digits, the id."""
+    at = F.unix_micros(created.cast("timestamp")) + F.lit(1 << 62)
+    return F.concat(F.when(new, "1").otherwise("0"), F.coalesce(F.lpad(at.cast("string"), 19, "0"), F.lit("0" * 19)), id)
+
+
+def _best_joined(rows: DataFrame, standing: DataFrame) -> DataFrame:
+    """best_standing by joins, for any number of standing notes."""
+    flags = lambda df, bit: df.select("category", "key", "words", F.lit(bit).alias("flags"))
+    both = flags(rows, 2).unionByName(flags(standing, 1)).groupBy("key").agg(F.first("category").alias("category"), F.first("words").alias("words"), F.sum("flags").cast("int").alias("flags"))
+    links = overlapping(both, LEAST_OVERLAP, 3)
+    links = links.select(F.col("class_a").alias("key"), F.col("class_b").alias("target"), "overlap").unionByName(links.select(F.col("class_b").alias("key"), F.col("class_a").alias("target"), "overlap"))
+    links = links.where("target < key").join(standing.select(F.col("key").alias("target")), "target", "left_semi")
+    same = rows.join(standing.select("category", "title", F.col("key").alias("target")), ["category", "title"]).where("target < key").select("key", "target", F.lit(2.0).alias("overlap"))
+    best = links.unionByName(same).groupBy("key").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "target")).getField("target").alias("target"))
+    return rows.join(best, "key", "left")
+
+
+def best_standing(rows: DataFrame, standing: DataFrame, most_broadcast: int) -> DataFrame:
+    """rows (category, key, title, words) with target: the earlier one of `standing` (the same columns) that has its
+    title or else, of those that overlap by at least half, overlaps most; the first of equals; null if there is none.
+    Standing notes are broadcast up to `most_broadcast`; then nothing is shuffled."""
+    held = standing.select("category", "key", "title", "words").limit(most_broadcast + 1).toArrow()
+    if not len(held):
+        return rows.withColumn("target", F.lit(None).cast("string"))
+    if len(held) > most_broadcast:
+        return _best_joined(rows, standing)
+    known = rows.sparkSession.sparkContext.broadcast(held)
+    return rows.select("category", "key", "title", "words").mapInArrow(best_of(known, LEAST_OVERLAP), "category string, key string, title string, words array<string>, target string")
+
+
+def _survivors(rows: DataFrame) -> DataFrame:
+    """Of rows (category, key, title, words) those that stand if they are added one by one to none. Only the first of
+    each set of words can; whether it does depends on earlier similar ones only, so all whose earlier neighbours are
+    decided are decided at once, round by round, each a few joins of keys."""
+    first = F.min(F.struct("key", "title")).alias("first")
+    firsts = rows.groupBy("category", "words").agg(first).select("category", F.col("first.key").alias("key"), F.col("first.title").alias("title"), "words")
+    firsts = cut(firsts, "firsts")
+    edges = cut(overlapping(firsts.withColumn("flags", F.lit(0)), LEAST_OVERLAP).select(F.col("class_a").alias("early"), F.col("class_b").alias("late")), "edges")
+    undecided = cut(edges.select(F.explode(F.array("early", "late")).alias("c")).distinct(), "undecided")
+    out = firsts.join(undecided.withColumnRenamed("c", "key"), "key", "left_anti").select("key")
+    while not undecided.isEmpty():
+        decided = cut(undecided.join(edges.select(F.col("late").alias("c")).distinct(), "c", "left_anti"), "standing")
+        gone = edges.join(decided.withColumnRenamed("c", "early"), "early", "left_semi").select(F.col("late").alias("c")).distinct()
+        undecided = cut(undecided.join(decided.unionByName(gone), "c", "left_anti"), "undecided")
+        is_open = lambda side: undecided.withColumnRenamed("c", side)
+        edges = cut(edges.join(is_open("early"), "early", "left_semi").join(is_open("late"), "late", "left_semi"), "open")
+        out = out.unionByName(decided.withColumnRenamed("c", "key"))
+    return firsts.join(out, "key", "left_semi").select("category", "key", "title", "words")
+
+
+def _fold_bounds(keys: DataFrame, first_round: int) -> list[str]:
+    """Keys that part all keys in order into rounds, the first of about `first_round` and each eight times as long as
+    all before; found in up to about 10,000 of the keys, since any bounds are right."""
+    total = keys.count()
+    share = max(1, total // 10_000)
+    some = sorted(r["key"] for r in keys.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0).collect())
+    ends, size = [], first_round
+    while size < total and size // share < len(some):
+        ends.append(some[size // share])
+        size *= 9
+    return ends
+
+
+def fold_notes(notes: DataFrame, stored: DataFrame | None = None, first_round: int = 5000, most_broadcast: int = 50_000) -> DataFrame:
     """(id, into, how): what adding notes one after another, by created and id, does with each: 'created', 'merged'
     into a note of the same category and title, or 'merged' into the note of its category whose title words overlap
     most, by at least half, the earliest of equals. Notes in `stored` are there from the start. A null title is one
-    without words; ids are unique.
+    without words, a null category one of its own; ids are unique.
 
-    Nothing is folded row by row: titles with one set of words are a class, similar classes are linked, and whether
-    a class's first title stands for itself depends on earlier linked ones only. So all whose earlier neighbours are
-    decided are decided at once, round by round, each a few joins of class ids.
+    Notes go in rounds, each many times as long as all before. Those that a standing note takes drop out first, so
+    few pairs are left where notes are similar: a round links only what none before it took, and which of these stand
+    is decided by joins of keys. At the end every note is held against those that stand. Titles of fewer than two
+    words merge with equal ones only.
     """
-    select = lambda df, new: df.select("id", "category", "title", F.struct(F.lit(new).alias("new"), "created", "id").alias("seq"))
+    select = lambda df, new: df.select(_fold_key(F.lit(new), F.col("created"), F.col("id")).alias("key"), F.coalesce(F.concat(F.lit("="), "category"), F.lit("")).alias("category"), F.coalesce("title", F.lit("")).alias("title"))
     rows = select(notes, True) if stored is None else select(stored, False).unionByName(select(notes, True))
-    rows = rows.withColumn("words", F.sort_array(title_words(F.col("title"))))
-    rows = rows.withColumn("plain", F.when(F.size("words") < 2, F.coalesce("title", F.lit(""))))
-    group = ["category", "words", "plain"]
-    firsts = rows.groupBy(*group).agg(F.min(F.struct("seq", "title")).alias("first"), F.max("seq.new").alias("asked"))
-    classes = cut(firsts.select(*group, F.col("first.seq.id").alias("class_id"), F.col("first.seq").alias("first"), F.col("first.title").alias("first_title"), "asked"), "classes")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in group]
-    placed = cut(rows.alias("r").join(classes.alias("c"), same).where("r.seq.new").select("r.id", "r.seq", "r.title", "c.class_id", "c.first", "c.first_title", F.col("r.plain").isNotNull().alias("exact_only")), "placed")
-
-    linked = similar_classes(classes.where("plain is null"), LEAST_OVERLAP, F.col("asked"))
-    order = lambda x: classes.select(F.col("class_id").alias(f"class_{x}"), F.col("first").alias(f"first_{x}"))
-    both = linked.join(order("a"), "class_a").join(order("b"), "class_b")
-    end = lambda x: F.struct(F.col(f"first_{x}").alias("first"), F.col(f"class_{x}").alias("id"))
-    edges = both.select(F.least(end("a"), end("b")).alias("early"), F.greatest(end("a"), end("b")).alias("late"), "overlap")
-    edges = cut(edges.where("late.first.new").select(F.col("early.id").alias("early"), F.col("late.id").alias("late"), "overlap"), "edges")
-
-    open_edges = edges
-    undecided = cut(edges.select(F.explode(F.array("early", "late")).alias("c")).distinct(), "undecided")
-    standing = classes.where("not first.new").select(F.col("class_id").alias("c"))  # stored notes stand from the start
-    decided = cut(undecided.join(standing, "c", "left_semi"), "standing")
-    survivors = decided
-    while True:
-        gone = cut(open_edges.join(decided, F.col("early") == F.col("c"), "left_semi").select(F.col("late").alias("c")).distinct(), "gone")
-        undecided = cut(undecided.join(decided, "c", "left_anti").join(gone, "c", "left_anti"), "undecided")
-        if undecided.isEmpty():
-            break
-        is_open = lambda side: open_edges.join(undecided.withColumnRenamed("c", side), side, "left_semi")
-        open_edges = cut(is_open("early").join(undecided.withColumnRenamed("c", "late"), "late", "left_semi"), "open")
-        decided = cut(undecided.join(open_edges.select(F.col("late").alias("c")).distinct(), "c", "left_anti"), "standing")
-        survivors = survivors.unionByName(decided)
-
-    alone = classes.join(edges.select(F.explode(F.array("early", "late")).alias("class_id")).distinct(), "class_id", "left_anti").select("class_id")
-    standing = cut(survivors.select(F.col("c").alias("class_id")).unionByName(alone).distinct(), "survivors")
-    named = classes.join(standing, "class_id", "left_semi").select(F.col("class_id").alias("target"), F.col("first").alias("target_seq"))
-    links = edges.select(F.col("late").alias("class_id"), F.col("early").alias("target"), "overlap").unionByName(edges.select(F.col("early").alias("class_id"), F.col("late").alias("target"), "overlap"))
-    own = standing.select("class_id", F.col("class_id").alias("target"), F.lit(1.0).alias("overlap"))
-    choices = links.unionByName(own).join(named, "target")
-    kept = placed.join(standing.withColumn("stands", F.lit(True)), "class_id", "left")
-    to_first = F.coalesce("stands", F.lit(False)) & (F.col("exact_only") | F.col("title").eqNullSafe(F.col("first_title")) | (F.col("id") == F.col("class_id")))
-    simple = kept.where(to_first).select("id", F.col("class_id").alias("into"))
-    best = kept.where(~to_first).select("id", "seq", "class_id").join(choices, "class_id").where("target_seq < seq")
-    best = best.groupBy("id").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "target_seq", "target")).getField("target").alias("into"))
-    how = F.when(F.col("id") == F.col("into"), "created").otherwise("merged")
-    return simple.unionByName(best).select("id", "into", how.alias("how"))
+    rows = cut(rows.withColumn("words", title_words(F.col("title"))), "titles")
+    is_new = F.col("key").startswith("1")
+
+    plain = rows.where(F.size("words") < 2)
+    firsts = plain.groupBy("category", "title").agg(F.min("key").alias("into"))
+    by_title = plain.where(is_new).join(firsts, ["category", "title"]).select("key", "into")
+
+    worded = rows.where(F.size("words") >= 2)
+    standing, new = worded.where(~is_new), worded.where(is_new)
+    bounds = _fold_bounds(new.select("key"), first_round)
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = new.where((F.lit(True) if low is None else F.col("key") >= low) & (F.lit(True) if high is None else F.col("key") < high))
+        left = cut(best_standing(part, standing, most_broadcast).where("target is null").drop("target"), "left")
+        standing = cut(standing.unionByName(_survivors(left)), "standing")
+    by_words = best_standing(new, standing, most_broadcast).select("key", F.coalesce("target", "key").alias("into"))
+    how = F.when(F.col("key") == F.col("into"), "created").otherwise("merged")
+    id = lambda c: F.substr(F.col(c), F.lit(21))
+    return by_title.unionByName(by_words).select(id("key").alias("id"), id("into").alias("into"), how.alias("how"))
 
 
 def merge_notes(notes: DataFrame, placed: DataFrame, stored: DataFrame | None = None) -> DataFrame:

@@ -230,3 +230,49 @@ def overlap_counts(sets: DataFrame, least: float, most_ranked: int = MOST_RANKED
     counted where they are found."""
     found = _met(sets, least, most_ranked, most_in_cell, most_in_task).mapInArrow(_counted(least), "key string, n long")
     return found.groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def best_of(standing, least: float):
+    """Batches of (category, key, title, words) with target: the key of the standing set, a broadcast table of the same
+    columns, that comes before and has the title or else overlaps most, by at least `least`; the first of equals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = standing.value
+        table = table.take(pc.sort_indices(table, [("category", "ascending"), ("key", "ascending")])).combine_chunks()
+        keys = np.array(table["key"].to_pylist(), object)
+        titled, spans, held = {}, {}, {}
+        for at, (category, title, words) in enumerate(zip(*(table[c].to_pylist() for c in ("category", "title", "words")))):
+            titled.setdefault((category, title), at)
+            spans[category] = (spans.get(category, (at,))[0], at + 1)
+            for word in words:
+                held.setdefault((category, word), []).append(at)
+        held = {word: np.array(at) for word, at in held.items()}
+        sizes = np.array([len(x) for x in table["words"].to_pylist()])
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("category", "key", "title", "words")]
+            targets = []
+            for category, key, title, words in zip(*columns):
+                at = titled.get((category, title))
+                if at is not None and keys[at] < key:
+                    targets.append(keys[at])
+                    continue
+                targets.append(None)
+                found = [x for w in words if (x := held.get((category, w))) is not None]
+                if not found:
+                    continue
+                begin, end = spans[category]
+                places = np.concatenate(found)
+                if 8 * len(places) < end - begin:
+                    at, n = np.unique(places, return_counts=True)
+                else:
+                    n = np.bincount(places - begin, minlength=end - begin)
+                    at = np.flatnonzero(n)
+                    at, n = at + begin, n[at]
+                before = np.searchsorted(keys[begin:end], key) + begin
+                overlap = n / np.minimum(sizes[at], len(words))
+                overlap[(overlap < least) | (at >= before)] = 0
+                if len(overlap) and overlap[best := overlap.argmax()] > 0:
+                    targets[-1] = keys[at[best]]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("category", "key", "title", "words")), pa.array(targets, pa.string())], ["category", "key", "title", "words", "target"])
+
+    return run

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +62,42 @@ def test_title_counts_without_pairs(spark):
     found = dedup.similar_title_counts(spark.createDataFrame(rows, "id string, category string, title string"))
     assert {(r["category"], r["class_id"], r["n"], r["n_links"]) for r in found.collect()} == {("c", "1", 2, 1), ("c", "2", 1, 1), (None, "4", 1, 0), ("c", "5", 1, 0)}
     assert "class_a" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("limits", [{"first_round": 4}, {"first_round": 9, "most_broadcast": 1}])
+def test_fold_in_rounds_equals_one_by_one(spark, limits):
+    """In many rounds, by broadcast and by joins, and for notes without category."""
+    from datetime import datetime
+
+    from test_records import fold_one_by_one
+
+    rng = random.Random(5)
+    title = lambda: " ".join(rng.choice(["Retry", "queue", "drain", "cache", "replica", "index", "token", "lag", "a"]) for _ in range(rng.randrange(1, 6)))
+    note = lambda i, day: (f"n{i:03}", rng.choice(["c", None]), rng.choice([title(), title(), None]), rng.choice([datetime(2025, 1, day, 1, 2, 3, day), None]))
+    schema = "id string, category string, title string, created timestamp"
+    stored = [note(i, 1) for i in range(900, 915)]
+    keep = fold_one_by_one(stored)
+    stored = [r for r in stored if keep[r[0]] == r[0]]
+    rows = [note(i, rng.randrange(1, 28)) for i in range(150)]
+    for old in ([], stored):
+        frame = spark.createDataFrame(old, schema) if old else None
+        got = {r["id"]: r["into"] for r in dedup.fold_notes(spark.createDataFrame(rows, schema), frame, **limits).collect()}
+        assert got == fold_one_by_one(rows, old)
+
+
+def test_fold_does_not_link_all_pairs(spark):
+    """Of 2,000 notes that are nearly all alike a round links only what no standing note took."""
+    import uuid
+    from datetime import datetime, timedelta
+
+    from lorekeep.session import own_scratch
+
+    words = ["alpha", "bravo", "delta", "gamma", "kappa", "omega", "sigma", "theta", "zebra", "lambda"]
+    rng = random.Random(3)
+    rows = [(uuid.UUID(int=i).hex, "c", " ".join([*rng.sample(words, 3), f"only{i}"]), datetime(2025, 1, 1) + timedelta(minutes=i)) for i in range(2000)]
+    written = lambda: set(Path(own_scratch(spark).removeprefix("file://")).glob("edges-*"))
+    before = written()
+    frame = spark.createDataFrame(rows, "id string, category string, title string, created timestamp")
+    into = {r["id"]: r["into"] for r in dedup.fold_notes(frame, first_round=50).collect()}
+    links = spark.read.parquet(*map(str, written() - before)).count()
+    assert len(into) == 2000 and links < 20_000
